@@ -31,9 +31,10 @@ def default_tokenizer() -> str:
 
 
 def _rank_encoder(path: str):
-    """The same vocabulary as a rank table, or None where its merges don't stand in the order of their ids."""
+    """The same vocabulary as a rank table, with the bytes of each id; or None where its merges don't stand in the order of their ids."""
     import json
 
+    import numpy as np
     import tiktoken
     from public_tokenizers import PATTERN
 
@@ -52,7 +53,9 @@ def _rank_encoder(path: str):
     ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
     if any(a >= b for a, b in zip(merged, merged[1:])) or len(ranks) != 256 + len(merged):
         return None
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+    length[list(ranks.values())] = [len(token) for token in ranks]
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, length
 
 
 def token_encoder(path: str):
@@ -60,49 +63,68 @@ def token_encoder(path: str):
 
     Ordinary texts are cut at blanks with Arrow and each distinct piece is
     encoded once per task; the vocabulary's pre-tokenizer never joins text
-    across those cuts.  Texts with other white space, runs of it, or special
-    tokens go to the tokenizer whole.
+    across those cuts.  Texts with other white space, runs of three, or
+    special tokens go to the tokenizer whole.
     """
-    import re
-
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    odd = re.compile("|".join([r"[^\S \n]", r"\s{3}", r"\s{2}\Z", r"[\x1c-\x1f\x85]", *map(re.escape, special)])).search
+    odd = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    odd += [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+    odd += [a + b + c for a in " \n" for b in " \n" for c in " \n"]
     ranked = _rank_encoder(path)
-    state = {}
+    state: dict = {}
+
+    def whole(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
     def fresh():
-        state.update(index={}, pool=np.zeros(1 << 16, dtype=np.uint32), used=0, start=[], size=[])
+        state.update(index={}, pool=np.zeros(1 << 16, dtype=np.uint32), used=0, start=np.zeros(0, dtype=np.int64), size=np.zeros(0, dtype=np.int64))
+        learn(["", "\n"])
+
+    def encoded(pieces):
+        """Ids of all pieces end to end, and the number of each piece's ids."""
+        plain = [p for p in pieces if p and p[0] != "\r" and p != "\n"] if ranked else []
+        rest = [p for p in pieces if not (p and p[0] != "\r" and p != "\n")] if ranked else pieces
+        ids, sizes = [], []
+        if plain:
+            # each begins with white space of its own, so together they are cut as they are alone
+            spelled = [p if p[0] == "\n" else " " + p for p in plain]
+            encode, length = ranked
+            ids = encode("".join(spelled))
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in spelled), dtype=np.int64, count=len(spelled)))
+            last = np.searchsorted(np.cumsum(length[ids]), ends)
+            sizes = np.diff(last, prepend=-1).tolist()
+        for p in rest:
+            own = whole(p[1:] if p[:1] == "\r" else p if p == "\n" else " " + p)
+            ids.extend(own)
+            sizes.append(len(own))
+        return plain + rest, ids, sizes
 
     def learn(pieces):
-        index, start, size = state["index"], state["start"], state["size"]
-        used, new = state["used"], []
-        for piece in pieces:
-            bare = piece[1:] if piece[0] == "\r" else piece
-            ids = ranked(bare) if ranked else tokenizer.encode(bare, add_special_tokens=False).ids
-            index[piece] = len(start)
-            start.append(used)
-            size.append(len(ids))
-            new.extend(ids)
-            used += len(ids)
-        while used > len(state["pool"]):
+        names, ids, sizes = encoded(pieces)
+        first, sizes = len(state["start"]), np.asarray(sizes, dtype=np.int64)
+        state["index"].update(zip(names, range(first, first + len(names))))
+        state["start"] = np.append(state["start"], state["used"] + np.cumsum(sizes) - sizes)
+        state["size"] = np.append(state["size"], sizes)
+        while state["used"] + len(ids) > len(state["pool"]):
             state["pool"] = np.concatenate([state["pool"], np.zeros_like(state["pool"])])
-        state["pool"][state["used"] : used] = new
-        state["used"] = used
+        state["pool"][state["used"] : state["used"] + len(ids)] = ids
+        state["used"] += len(ids)
 
     fresh()
 
     def encode(texts):
         out = [None] * len(texts)
+        every = "\0".join(texts)
+        found = [x for x in odd if x in every]
         plain = []
         for i, text in enumerate(texts):
-            if odd(text):
-                out[i] = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            if text[-2:].isspace() and len(text) > 1 or found and any(x in text for x in found):
+                out[i] = np.asarray(whole(text), dtype=np.uint32)
             else:
                 plain.append(i)
         if not plain:
@@ -112,17 +134,16 @@ def token_encoder(path: str):
         bounds = np.asarray(lists.offsets)
         coded = lists.values.dictionary_encode()
         codes = np.asarray(coded.indices)
-        units = [u if u[:1] in ("\r", "\n") else " " + u for u in coded.dictionary.to_pylist()]
+        units = coded.dictionary.to_pylist()
         if len(state["index"]) > 400_000:  # memory bound; forgotten pieces are encoded again
             fresh()
         index = state["index"]
-        learn([u for u in units if u not in index])
+        if new := [u for u in units if u not in index]:
+            learn(new)
         at = np.fromiter(map(index.__getitem__, units), dtype=np.int64, count=len(units))
-        where, size = np.asarray(state["start"], dtype=np.int64)[at], np.asarray(state["size"], dtype=np.int64)[at]
-        sizes = size[codes]
+        sizes = state["size"][at][codes]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(where[codes] - (ends - sizes), sizes) + np.arange(total)
+        source = np.arange(int(ends[-1])) + np.repeat(state["start"][at][codes] - (ends - sizes), sizes)
         ids = state["pool"][source]
         cuts = np.concatenate([[0], ends])[bounds]
         for k, i in enumerate(plain):
