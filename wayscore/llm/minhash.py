@@ -4,7 +4,7 @@ Two small collections of half keys, A and B, hold ``m`` entries each; a half
 key joins two minhash values.  The table keys are all pairs (A_i, B_j): m*m
 tables from 4*m minhash values, where independent tables would need 4*m*m.
 At Jaccard 0.85 a pair meets in a table with probability
-(1 - (1 - 0.85**2)**m)**2 = 0.9997 for m = 7.  Every candidate is verified on
+(1 - (1 - 0.85**2)**m)**2 = 0.9991 for m = 6.  Every candidate is verified on
 its full shingle sets.
 """
 
@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from wayscore.llm.common import connected_components, small_batches, written
 
-HALVES = 7
+HALVES = 6
+#: Bits of the table of shingle counts that orders prefixes (4 MB).
+SLOT_BITS = 20
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -108,20 +110,85 @@ def _sets(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Adds ``distance`` (1 - Jaccard) and ``linked`` to ``pairs`` (a, b), from the whole texts."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    chosen = texts.join(ids, "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(_sets(size), "rep bigint, sh array<bigint>").dropDuplicates(["rep"]), "sets")
+def _shingle_sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Full shingle sets (rep, sh) of the documents in ``ids`` (doc_id), as a table."""
+    chosen = texts.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return written(chosen.mapInArrow(_sets(size), "rep bigint, sh array<bigint>"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds ``linked`` to ``pairs`` (a, b), from their full shingle sets."""
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b"
     )
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return written(
-        both.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= percent * union).alias("linked")),
-        "checked",
-    )
+    return written(both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked")), "checked")
+
+
+def _slots(h):
+    import numpy as np
+
+    return ((h.view(np.uint64) * np.uint64(SEED)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for batch in batches:
+        counts += np.bincount(_slots(np.asarray(batch.column(0).flatten(), dtype=np.int64)), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+
+def _prefixes(counts, percent: int):
+    """The rarest shingles of each set: two sets that reach the threshold share one of them, whatever the order is based on."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        often = counts.value
+        for batch in batches:
+            made = []
+            for own in batch.column(1).to_pylist():
+                h = np.asarray(own, dtype=np.int64)
+                most = len(h) - -(-percent * len(h) // 100) + 1
+                made.append(h[np.lexsort((h, often[_slots(h)]))[:most]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["rep", "prefix"])
+
+    return run
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that may reach the threshold, by exact prefix and position filters.
+
+    Shingles are ordered from rare to frequent by counts in a table of fixed
+    size, which is all that is broadcast.
+    """
+    import numpy as np
+
+    spark = sets.sparkSession
+    rows = sets.select("sh").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    counts[np.asarray(rows.column("slot"))] = np.minimum(np.asarray(rows.column("n")), 2**31 - 1)
+    prefixes = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), percent), "rep bigint, prefix array<bigint>")
+    rows = prefixes.join(labels, "rep").select("rep", "n", "label", F.posexplode("prefix").alias("pos", "shingle"))
+    mixed = rows.groupBy("shingle").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("shingle")
+    rows = written(rows.join(mixed, "shingle"), "prefixes")
+    left, right = (rows.select("shingle", *(F.col(c).alias(f"{c}_{e}") for c in ("rep", "n", "label", "pos"))) for e in "ab")
+    # seen from the first shingle that two sets share, what can still follow bounds their overlap
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    reach = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    met = left.join(right, "shingle").where("label_a < label_b").where(_in_range("n_a", "n_b", percent) & reach)
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def _in_range(x: str, y: str, percent: int) -> F.Column:
+    """Sizes between which the threshold can be reached."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, halves: int = HALVES, salt: int = SEED) -> DataFrame:
@@ -132,11 +199,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Texts are lower-cased (A-Z) and cut at ASCII white space.  Null or empty
     texts have an empty set and are linked with nothing; a text shorter than a
     shingle is one shingle.  Equal word sequences form a class whose smallest
-    doc_id stands for it, so copies never meet in pairs.  Of the classes in a
-    bucket, each is first tried against the bucket's smallest; classes that
-    still lie in different components are then compared with each other,
-    unless their measured distances to that smallest one rule a link out (the
-    Jaccard distance is a metric).  No candidate is capped.  Rows with a null
+    doc_id stands for it, so copies never meet in pairs.  Each class is first
+    tried against the most central class that shares a bucket with it.
+    Classes that then still share a bucket with another component are
+    compared across components wherever an exact prefix filter lets a pair
+    reach the threshold.  No candidate is capped.  Rows with a null
     doc_id are linked with nothing, get a null component and are kept; rows
     repeated under one doc_id share its component.  Other columns are ignored.
     """
@@ -157,41 +224,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     a, b = F.slice("halves", 1, m), F.slice("halves", m + 1, m)
     tables = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i, j))))
     keyed = reps.select("rep", "n", F.explode(tables).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    buckets = written(keyed.join(hubs, "key").dropDuplicates(["key", "rep"]), "buckets")
-
-    def in_range(x: str, y: str) -> F.Column:
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    sizes = buckets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).where("rep = hub").distinct()
-    spokes = buckets.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub").where(in_range("n", "hub_n"))
-    stars = _verified(spokes.select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts, shingle_words, percent)
-    labels = written(connected_components(stars.where("linked")), "labels")
-
-    known = stars.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "distance")
-    placed = (
-        buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left")
-        .withColumn("label", F.coalesce("label", "rep"))
-        .join(known, ["hub", "rep"], "left")
-        .withColumn("distance", F.when(F.col("rep") == F.col("hub"), F.lit(0.0)).otherwise(F.col("distance")))
-    )
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
+    buckets = written(keyed.join(shared.select("key", "size"), "key"), "buckets")
+
+    # each class is tried once against the most central class that it meets
+    score = buckets.groupBy("rep").agg(F.sum("size").alias("score"))
+    ranked = buckets.select("key", "rep").join(score, "rep")
+    heads = ranked.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("m"))).alias("h"))
+    hubs = buckets.select("key", "rep", "n").join(heads, "key").groupBy("rep").agg(F.max("n").alias("n"), (-F.max("h")["m"]).alias("hub"))
+    sizes = buckets.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).distinct()
+    spokes = hubs.where("rep <> hub").join(sizes, "hub").where(_in_range("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    spokes = written(spokes, "spokes")
+    ids = spokes.select(F.col("a").alias("doc_id")).union(spokes.select("b"))
+    stars = _verified(spokes, _shingle_sets(ids, texts, shingle_words), percent).where("linked")
+    labels = written(connected_components(stars), "labels")
+
+    # classes that still meet a class of another component
+    placed = buckets.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").where("rep <> hub")
-    left = open_.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "label", "distance")))
-    right = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "label", "distance")))
-    reach = 1 - percent / 100 + 1e-9
-    rest = (
-        left.join(right, "key")
-        .where("label_a < label_b")
-        .where(in_range("n_a", "n_b"))
-        .where(F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= reach, F.lit(True)))
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .distinct()
-    )
-    rest = written(rest, "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, texts, shingle_words, percent)
-        labels = connected_components(stars.where("linked").select("a", "b").union(more.where("linked").select("a", "b")))
+    open_ = written(placed.join(mixed, "key", "left_semi").select("rep", "n", "label").distinct(), "open")
+    if not open_.isEmpty():
+        sets = _shingle_sets(open_.select(F.col("rep").alias("doc_id")), texts, shingle_words)
+        more = _verified(written(_prefix_pairs(sets, open_, percent), "rest"), sets, percent).where("linked")
+        labels = connected_components(stars.select("a", "b").union(more.select("a", "b")))
     component = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "class_hi", "class_lo", F.coalesce("component", "rep").alias("component_id")
     )
