@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return (
         base.select("doc_id", "n_shingles", "class_hi", "class_lo")
         .join(component, ["class_hi", "class_lo"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
