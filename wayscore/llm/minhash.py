@@ -10,6 +10,7 @@ its full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ HALVES = 6
 #: Bits of the table of shingle counts that orders prefixes (4 MB).
 SLOT_BITS = 20
 SEED = 0x9E3779B97F4A7C15
+#: Most bits of the broadcast filter of ids, as a power of two (16 MB).
+FILTER_BITS = 27
 
 
 def _shingler(size: int):
@@ -110,9 +113,25 @@ def _sets(size: int):
     return run
 
 
+def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is in ``ids``, and few others: a broadcast bitmap of at most 2**FILTER_BITS bits keeps texts out of shuffles.
+
+    Beyond some ten million ids it fills up and lets more rows through; the
+    exact join that follows decides.
+    """
+    bits = 1 << min(FILTER_BITS, max(15, math.ceil(math.log2(64 * max(1, ids.count())))))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bitmap"))
+    bit = F.bitmap_bit_position(at).cast("int")
+    probed = rows.withColumns({"_bucket": F.bitmap_bucket_number(at), "_bit": bit}).join(F.broadcast(bitmaps), "_bucket")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return probed.where(F.getbit(byte, F.col("_bit") % 8) == 1).select(rows.columns)
+
+
 def _shingle_sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Full shingle sets (rep, sh) of the documents in ``ids`` (doc_id), as a table."""
-    chosen = texts.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = ids.distinct()
+    chosen = _may_be_in(texts, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return written(chosen.mapInArrow(_sets(size), "rep bigint, sh array<bigint>"), "sets")
 
 
