@@ -131,7 +131,8 @@ def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def _shingle_sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Full shingle sets (rep, sh) of the documents in ``ids`` (doc_id), as a table."""
     ids = ids.distinct()
-    chosen = _may_be_in(texts, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # an inner join: a semi join would be moved below the filter, and whole texts shuffled
+    chosen = _may_be_in(texts, ids).join(ids, "doc_id").dropDuplicates(["doc_id"])
     return written(chosen.mapInArrow(_sets(size), "rep bigint, sh array<bigint>"), "sets")
 
 
