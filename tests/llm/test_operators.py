@@ -1,6 +1,7 @@
 """Small fixtures against brute force, and hostile inputs for every operator."""
 
 import itertools
+import math
 import re
 import zlib
 
@@ -146,6 +147,40 @@ def test_op5_prefers_the_target(spark):
     assert scoring.cross_entropy_difference(frame.limit(0), target).count() == 0
 
 
+@pytest.mark.parametrize("marks", [scoring.MARKS, 0])
+def test_op5_equals_brute_force(spark, marks):
+    from collections import Counter
+
+    texts = {i: prose(i, 30 + i) for i in range(1, 16)} | {-3: prose(2, 12), 40_000: "a b a b", 32_768: "b a", 50: None, 51: ""}
+    chosen = {1, 4, -3, 40_000, 77}
+    frame = spark.createDataFrame([*texts.items(), (None, "a b c"), (4, texts[4])], "doc_id bigint, text string")
+    target = spark.createDataFrame([(i,) for i in [*chosen, 4, None]], "doc_id bigint")
+    classes, weight = 1, 50.0
+    rows = [(i, (t or "").lower().split()) for i, t in [*texts.items(), (None, "a b c"), (4, texts[4])]]
+    vocabulary = {w for _, ws in rows for w in ws}
+    size = len(vocabulary) + classes
+
+    def loss(of, words):
+        pairs = Counter(p for ws in of for p in zip(["", *ws], ws))
+        single, context = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            single[b] += n
+            context[a] += n
+        total = sum(single.values()) + size
+        found = []
+        for a, b in zip(["", *words], words):
+            trust = context[a] / (context[a] + weight)
+            found.append(-math.log(trust * pairs[a, b] / max(context[a], 1) + (1 - trust) * (single[b] + 1) / total))
+        return sum(found) / len(found) if found else 0.0
+
+    got = scoring.cross_entropy_difference(frame, target, words=len(vocabulary), classes=classes, weight=weight, marks=marks).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, ws in rows:
+        want = loss([w for j, w in rows if j in chosen], ws), loss([w for _, w in rows], ws)
+        assert (by_id[i].target_loss, by_id[i].background_loss) == pytest.approx(want, abs=1e-5)
+
+
 def test_op6_base_statistics(docs):
     from collections import Counter
 
