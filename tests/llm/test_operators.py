@@ -204,6 +204,12 @@ def test_op6_rejects_an_outlier(spark):
     assert not got[99] and sum(got.values()) == 60
 
 
+def test_op6_salted_and_broadcast_agree(docs):
+    row = lambda r: (r.doc_id or -1, r.n_words, r.kept, round(r.distance, 9) if r.distance is not None else -1.0)
+    near, far = (sorted(map(row, outliers.quality_rules(docs, min_rows=5, broadcast_cells=n).collect())) for n in (outliers.CELLS, 0))
+    assert near == far and any(r[3] >= 0 for r in near)
+
+
 def test_op7_rules_and_trees(spark):
     rows = [(1, "https://a.example.com/en/71"), (2, "http://X.COM/en/8"), (3, "https://b.example.net/de/8"), (4, "http://spam-farm.example.org/fr/1"), (5, None), (6, "no scheme"), (7, "https://plain.example.net/fr/2?x=1#y"), (7, "https://plain.example.net/fr/2?x=1#y")]
     rows += [(100 + i, f"https://host{i % 7}.example.net/en/{i}") for i in range(60)] + [(200 + i, f"https://m.cheap-pills.example.org/en/{i}") for i in range(12)]

@@ -21,6 +21,8 @@ CHI_MEDIAN = 3.3567
 CUTOFF = 40.0
 MIN_ROWS = 40
 CORE = 0.75
+#: Most languages with sources, and most bytes of their names, whose estimates are broadcast; beyond that rows are salted.
+CELLS, CELL_BYTES, SALTS = 50_000, 8_000_000, 64
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -47,6 +49,15 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def _looked_up(rows: DataFrame, small: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Joins ``small``, one row per key, to ``rows``: broadcast where ``few``, else by salted keys, so that a hot key is split."""
+    if few:
+        return rows.join(F.broadcast(small), on, how)
+    salt = F.pmod(F.xxhash64("doc_id", *STATS), F.lit(SALTS)).cast("int")
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def _estimate(rows: DataFrame, inside: Column) -> DataFrame:
     """Mean and Cholesky factor of the rows ``inside``, per cell; spreads have a floor."""
     names = list(STATS)
@@ -66,10 +77,10 @@ def _estimate(rows: DataFrame, inside: Column) -> DataFrame:
     return made.select("cell", *(f"m_{a}" for a in names), *(f"l_{a}{b}" for i, a in enumerate(names) for b in names[: i + 1]))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """Squared Mahalanobis distances ``d2`` of ``rows``, by forward substitution."""
     names = list(STATS)
-    out = rows.join(estimate, "cell", "left")
+    out = _looked_up(rows, estimate, ["cell"], few, "left")
     total = F.lit(0.0)
     for i, a in enumerate(names):
         z = F.col(a) - F.col(f"m_{a}")
@@ -80,7 +91,7 @@ def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.select(*rows.columns, total.alias("d2"))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, core: float = CORE, steps: int = 3, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, core: float = CORE, steps: int = 3, min_rows: int = MIN_ROWS, broadcast_cells: int = CELLS) -> DataFrame:
     """Base statistics and the verdict of every row of ``docs`` (doc_id, text, lang, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -117,21 +128,24 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, core: float = CORE, s
         "source",
         F.when(F.col("large"), F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= min_rows, F.to_json(F.array("lang"))).otherwise("[]").alias("cell"),
     )
-    rows = written(passed.join(cells, ["lang", "source"]).select("doc_id", "cell", *STATS), "vectors")
+    cells = written(cells, "cells")
+    n_cells, n_bytes = cells.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("cell") + F.octet_length("lang") + F.octet_length("source")), F.lit(0))).first()
+    few = n_cells <= broadcast_cells and n_bytes <= CELL_BYTES
+    rows = written(_looked_up(passed, cells, ["lang", "source"], few).select("doc_id", "cell", *STATS), "vectors")
     # start: medians, and spreads from median absolute deviations
     middle = rows.groupBy("cell").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in STATS))
-    off = rows.join(middle, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000).alias(f"s_{a}") for a in STATS))
+    off = _looked_up(rows, middle, ["cell"], few).groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000).alias(f"s_{a}") for a in STATS))
     start = middle.join(off, "cell")
     d2 = sum(((F.col(a) - F.col(f"m_{a}")) / (1.4826 * F.col(f"s_{a}") + floor)) ** 2 for a, floor in STATS.items())
-    now = rows.join(start, "cell").select(*rows.columns, d2.alias("d2"))
+    now = _looked_up(rows, start, ["cell"], few).select(*rows.columns, d2.alias("d2"))
     for _ in range(steps):
         edge = now.groupBy("cell").agg(F.percentile_approx("d2", core, 2000).alias("edge"))
-        estimate = written(_estimate(now.join(edge, "cell"), F.col("d2") <= F.col("edge")), "estimate")
-        now = _distance(rows, estimate)
+        estimate = written(_estimate(_looked_up(now, edge, ["cell"], few), F.col("d2") <= F.col("edge")), "estimate")
+        now = _distance(rows, estimate, few)
     scale = now.groupBy("cell").agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
     scale = scale.where(F.col("n") >= min_rows)
-    judged = table.join(cells, ["lang", "source"], "left").drop("lang", "source")
-    judged = _distance(judged, estimate).join(scale, "cell", "left")
+    judged = _looked_up(table, cells, ["lang", "source"], few, "left").drop("lang", "source")
+    judged = _looked_up(_distance(judged, estimate, few), scale, ["cell"], few, "left")
     distance = F.sqrt(F.col("d2") / F.col("scale"))
     return judged.select(
         "doc_id",
