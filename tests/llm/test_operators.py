@@ -181,6 +181,25 @@ def test_op5_equals_brute_force(spark, marks):
         assert (by_id[i].target_loss, by_id[i].background_loss) == pytest.approx(want, abs=1e-5)
 
 
+def test_op5_counts_every_word(spark):
+    # 3000 words once each: a word of the target has a lower loss than its neighbours by frequency, so none shares counts
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(5)], "doc_id bigint")
+    wide = scoring.cross_entropy_difference(frame, target)
+    got = {r.doc_id: r for r in wide.collect()}
+    size, weight = 3001, 50.0
+    single, trust = 2 / (3000 + size), 1 / (1 + weight)
+    start = 150 / (150 + weight)
+    want = -(19 * math.log(trust + (1 - trust) * single) + math.log(start / 150 + (1 - start) * single)) / 20
+    assert all(r.background_loss == pytest.approx(want, abs=1e-9) for r in got.values())
+    assert len({round(r.target_loss, 9) for i, r in got.items() if i >= 5}) == 1
+    # the same scores from many chunks and buckets
+    cut = scoring.cross_entropy_difference(frame, target, chunk_tokens=100, bucket_chars=500)
+    assert {r.doc_id: (r.n_tokens, round(r.difference, 9)) for r in cut.collect()} == {i: (r.n_tokens, round(r.difference, 9)) for i, r in got.items()}
+
+
 def test_op6_base_statistics(docs):
     from collections import Counter
 

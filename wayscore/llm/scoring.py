@@ -1,9 +1,10 @@
 """Operator 5: cross-entropy difference between a target and a background model.
 
-Both are interpolated bigram models over one shared, bounded vocabulary: the
-most frequent words of the whole corpus, and hash classes for all others.
-Counts come from every document; only the finished tables, of a size fixed by
-the vocabulary, are broadcast.
+Both are interpolated bigram models over every word of the corpus.  Texts are
+coded once, in chunks; a chunk sends its distinct words and pairs, as 64-bit
+hashes with counts, to buckets of the hash space, and each bucket sends their
+totals back to the chunks that asked.  No vocabulary or model is gathered or
+broadcast: buckets and chunks grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -15,118 +16,193 @@ from pyspark.sql import functions as F
 
 from wayscore.llm.common import small_batches, written
 
-#: Words with an id of their own, and hash classes of the others.
-WORDS, CLASSES = 768, 256
+#: Tokens after which a chunk is closed, and characters of text to a bucket of the hash space.
+CHUNK, BUCKET = 500_000, 2_000_000
 #: Most bitmaps of 4 KB that mark target ids and may be broadcast (16 MB, 134 million ids where they are dense).
 MARKS = 4096
 
 
-def _word_counts(batches: Iterator) -> Iterator:
-    from collections import Counter
+def _planes(values) -> bytes:
+    """Integers byte plane by byte plane, as the high ones are mostly zero and compress."""
+    import pyarrow as pa
+
+    data = values.view("u1").reshape(len(values), values.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
 
+def _plain(data: bytes, kind: str):
+    import numpy as np
     import pyarrow as pa
 
-    def table(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    found = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(found, "u1").reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update((text or "").encode("utf-8", "surrogatepass").lower().split())
-        if len(counts) > 400_000:  # memory bound; Spark adds the parts up
-            yield table(counts)
-            counts.clear()
-    yield table(counts)
 
+def _steps(keys) -> bytes:
+    """Keys by their differences, which are small where they are sorted; exact in any order, modulo 2**64."""
+    import numpy as np
 
-def _coder(words: list[bytes], classes: int):
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes):
     import numpy as np
-    import xxhash
 
-    class Ids(dict):
-        def __missing__(self, word):
-            found = len(words) + xxhash.xxh3_64_intdigest(word) % classes
-            if len(self) < 300_000:
-                self[word] = found
-            return found
+    return np.cumsum(_plain(data, "<u8"), dtype=np.uint64)
 
-    ids = Ids({w: i for i, w in enumerate(words)})
 
-    def code(text):
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(ids.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+def _mixed(h):
+    """The splitmix64 finaliser, a bijection."""
+    import numpy as np
 
-    return code
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def _pair_counts(vocabulary, classes: int):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+def _pairs(hashes, tokens, lengths):
+    """Distinct pairs of a chunk in the order of their keys: keys, both words, and each token's pair.
 
-        code = _coder(vocabulary.value, classes)
-        size = len(vocabulary.value) + classes
-        # id ``size`` stands before a text
-        counts = np.zeros((2, (size + 1) * size), dtype=np.int64)
-        for batch in batches:
-            parts = ([], [])
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = code(text)
-                if len(ids):
-                    pair = np.concatenate([[size], ids[:-1]]) * size + ids
-                    parts[0].append(pair)
-                    if chosen:
-                        parts[1].append(pair)
-            for which in (0, 1):
-                if parts[which]:
-                    counts[which] += np.bincount(np.concatenate(parts[which]), minlength=counts.shape[1])
-        at = np.flatnonzero(counts[0])
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0][part]), pa.array(counts[1][part])], ["pair", "background", "target"])
+    Word 0 stands before each text.
+    """
+    import numpy as np
+
+    before = np.append(np.zeros(1, tokens.dtype), tokens[:-1])[: len(tokens)].astype(np.int64)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    code, at = np.unique(before * len(hashes) + tokens, return_inverse=True)
+    a, b = code // len(hashes), code % len(hashes)
+    keys = _mixed(_mixed(hashes[a] ^ np.uint64(0x9E3779B97F4A7C15)) + hashes[b])
+    order = np.argsort(keys, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return keys[order], a[order], b[order], place[at.reshape(-1)]
 
-    return run
 
+def _coded(bits: int, chunk_tokens: int):
+    """Chunks of texts: one row of its coded documents (bucket -1), and its keys with counts by bucket (words from 0, pairs from 2**bits)."""
+    names = ["chunk", "bucket", "keys", "counts", "docs", "background", "target"]
 
-def _losses(model, vocabulary, classes: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-
-        code = _coder(vocabulary.value, classes)
-        background, target = model.value
-        size = len(vocabulary.value) + classes
+        import xxhash
+        from pyspark import TaskContext
+
+        class Words(dict):
+            def __missing__(self, word):
+                self[word] = found = len(self) + 1
+                return found
+
+        base = TaskContext.get().partitionId() << 32
+        made = 0
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+        def closed(words, parts, ids, chosen):
+            lengths = np.array([len(p) for p in parts], dtype=np.int64)
+            tokens = np.concatenate([np.zeros(0, np.int64), *parts])
+            # word 0 has a hash of its own; sorted hashes make the codes independent of the order of words
+            raw = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+            order = np.argsort(raw, kind="stable")
+            place = np.empty(len(raw) + 1, dtype=np.int64)
+            place[order + 1], place[0] = np.arange(1, len(raw) + 1), 0
+            hashes = np.append(np.uint64(0x5851F42D4C957F2D), raw[order])
+            tokens = place[tokens]
+            keys, a, b, at = _pairs(hashes, tokens, lengths)
+            inside = np.repeat(np.array(chosen, dtype=bool), lengths)
+            pair = [np.bincount(x, minlength=len(keys)) for x in (at, at[inside])]
+            word = [np.bincount(w, n, len(hashes)).astype(np.int64) for w in (b, a) for n in pair]
+            # keys of words are looked up in the order of their own sorted hashes
+            first = np.argsort(hashes, kind="stable")
+            nulls = np.array([i is None for i in ids], dtype=np.int64)
+            numbers = np.array([i or 0 for i in ids], dtype=np.int64)
+            yield base + made, -1, _steps(hashes), _planes(tokens.astype(np.int32)), _planes(np.concatenate((numbers, nulls, lengths))), len(tokens), int(inside.sum())
+            for offset, own, counts in ((0, hashes[first], [w[first] for w in word]), (1 << bits, keys, pair)):
+                bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for i, j in zip(cuts, [*cuts[1:], len(own)]):
+                    yield base + made, offset + int(bucket[i]), _steps(own[i:j]), _planes(np.concatenate([c[i:j] for c in counts]).astype(np.int32)), None, 0, 0
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        words, parts, ids, chosen, held = Words(), [], [], [], 0
         for batch in batches:
-            rows = ([], [], [])
-            for text in batch.column(1).to_pylist():
-                ids = code(text)
-                rows[0].append(len(ids))
-                pair = np.concatenate([[size], ids[:-1]]) * size + ids if len(ids) else ids
-                for column, table in ((rows[1], target), (rows[2], background)):
-                    column.append(float(table[pair].mean(dtype=np.float64)) if len(ids) else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.float64()), pa.array(rows[2], pa.float64())],
-                ["doc_id", "n_tokens", "target_loss", "background_loss"],
-            )
+            for doc, text, inside in zip(*(c.to_pylist() for c in batch.columns)):
+                found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                parts.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
+                ids.append(doc)
+                chosen.append(inside)
+                held += len(found)
+                if held >= chunk_tokens or len(ids) >= chunk_tokens:
+                    yield table(list(closed(words, parts, ids, chosen)))
+                    made += 1
+                    words, parts, ids, chosen, held = Words(), [], [], [], 0
+        if ids:
+            yield table(list(closed(words, parts, ids, chosen)))
 
     return run
 
 
-def _table(counts, size: int, weight: float):
-    """Negative log probabilities of an interpolated bigram model, from its pair counts."""
+def _summed(table):
+    """Keys of a bucket with their totals, and each part's place among them."""
     import numpy as np
 
-    pairs = counts.reshape(size + 1, size).astype(np.float64)
-    single = pairs.sum(axis=0) + 1.0
-    single /= single.sum()
-    context = pairs.sum(axis=1, keepdims=True)
-    # the weight of a context grows with what was seen of it
-    trust = context / (context + weight)
-    return -np.log(trust * pairs / np.maximum(context, 1.0) + (1 - trust) * single).astype(np.float32).ravel()
+    parts = [_keys(k) for k in table.column("keys").to_pylist()]
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    ends = np.cumsum([len(p) for p in parts])
+    counts = [_plain(c, "<i4").reshape(-1, len(p)) for c, p in zip(table.column("counts").to_pylist(), parts)]
+    total = np.stack([np.bincount(at, x, len(keys)).astype(np.int64) for x in np.concatenate(counts, axis=1)])
+    return keys, total, np.split(at.reshape(-1), ends[:-1])
+
+
+def _answered(table):
+    """What a bucket sends back: the totals of the keys of each chunk, in the chunk's order."""
+    import pyarrow as pa
+
+    _, total, parts = _summed(table)
+    out = [_planes(total[:, p].reshape(-1)) for p in parts]
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "keys": pa.nulls(len(out), pa.binary()), "counts": pa.array(out, pa.binary()), "docs": pa.nulls(len(out), pa.binary())})
+
+
+def _distinct(table):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.table({"n": pa.array([len(np.unique(np.concatenate([_keys(k) for k in table.column("keys").to_pylist()])))], pa.int64())})
+
+
+def _losses(bits: int, tokens_of: tuple[int, int], size: int, weight: float):
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "counts", "docs"))), key=lambda r: r[0])
+        _, hashes, tokens, docs = rows[0]
+        hashes, tokens = _keys(hashes), _plain(tokens, "<i4").astype(np.int64)
+        ids, nulls, lengths = _plain(docs, "<i8").reshape(3, -1)
+        n = len(ids)
+        keys, a, b, at = _pairs(hashes, tokens, lengths)
+        none = np.zeros((2, 0), np.int64)
+        word = np.concatenate([_plain(c, "<i8").reshape(4, -1) for k, _, c, _ in rows[1:] if k < 1 << bits], axis=1)
+        pair = np.concatenate([none, *(_plain(c, "<i8").reshape(2, -1) for k, _, c, _ in rows[1:] if k >= 1 << bits)], axis=1)
+        back = np.empty_like(word)
+        back[:, np.argsort(hashes, kind="stable")] = word
+        owner = np.repeat(np.arange(n), lengths)
+        means = []
+        for which in (0, 1):
+            single = (back[which, b] + 1.0) / (tokens_of[which] + size)
+            context = back[2 + which, a]
+            # the weight of a context grows with what was seen of it
+            trust = context / (context + weight)
+            loss = -np.log(trust * pair[which] / np.maximum(context, 1) + (1 - trust) * single)
+            means.append(np.bincount(owner, loss[at], n) / np.maximum(lengths, 1))
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls == 1), "n_tokens": pa.array(lengths), "target_loss": pa.array(means[1]), "background_loss": pa.array(means[0])})
+
+    return run
 
 
 def _flagged(rows: DataFrame, ids: DataFrame, marks: int) -> DataFrame:
-    """(text, chosen) of every row, chosen where its doc_id is in ``ids``.
+    """(doc_id, text, chosen) of every row, chosen where its doc_id is in ``ids``.
 
     Ids that fit into ``marks`` bitmaps are broadcast as such, so that texts
     stay where they are; beyond that, texts are shuffled to an exact join.
@@ -134,44 +210,43 @@ def _flagged(rows: DataFrame, ids: DataFrame, marks: int) -> DataFrame:
     bucket, position = F.bitmap_bucket_number("doc_id"), F.bitmap_bit_position("doc_id")
     if ids.select(bucket).distinct().limit(marks + 1).count() > marks:
         found = rows.join(ids.distinct().withColumn("chosen", F.lit(True)), "doc_id", "left")
-        return found.select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+        return found.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     bitmaps = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
     probed = rows.withColumns({"bucket": bucket, "bit": position.cast("int")}).join(F.broadcast(bitmaps), "bucket", "left")
     byte = F.conv(F.hex(F.substring("bitmap", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return probed.select("text", F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False)).alias("chosen"))
+    return probed.select("doc_id", "text", F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False)).alias("chosen"))
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, words: int = WORDS, classes: int = CLASSES, weight: float = 50.0, marks: int = MARKS
+    docs: DataFrame, target_ids: DataFrame, words: int | None = None, classes: int = 1, weight: float = 50.0, marks: int = MARKS, chunk_tokens: int = CHUNK, bucket_chars: int = BUCKET
 ) -> DataFrame:
     """Scores every row of ``docs`` by mean loss under the target model less that under the background model.
 
     Returns doc_id, n_tokens, target_loss, background_loss, difference; lower
     is more like the target.  The background is every row, the target the rows
-    whose doc_id is in ``target_ids``.  Null and empty texts have no tokens
-    and zero losses.  Repeated rows count each time; ties among words at the
-    vocabulary's edge are broken by the word.  Null doc_ids are scored and
-    never belong to the target.  Without any target row both its models are
-    flat, and the difference still finite.
+    whose doc_id is in ``target_ids``.  Every word and pair of the corpus is
+    counted as itself.  Single words are smoothed by one over ``words`` (those
+    of the corpus, where not more are given) and ``classes`` unseen ones.
+    Null and empty texts have no tokens and zero losses.  Repeated rows count
+    each time.  Null doc_ids are scored and never belong to the target.
+    Without any target row both its models are flat, and the difference still
+    finite.
     """
-    import numpy as np
-
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_word_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    vocabulary = spark.sparkContext.broadcast([bytes(r.word) for r in top])
-    size = len(top) + classes
     ids = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null")
-    pairs = _flagged(rows, ids, marks).mapInArrow(_pair_counts(vocabulary, classes), "pair int, background bigint, target bigint")
-    pairs = written(pairs.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "pairs")
-    table = pairs.toArrow()  # (words + classes + 1) * (words + classes) rows at most
-    tables = []
-    for name in ("background", "target"):
-        full = np.zeros((size + 1) * size, dtype=np.int64)
-        full[np.asarray(table.column("pair"))] = np.asarray(table.column(name))
-        tables.append(_table(full, size, weight))
-    model = spark.sparkContext.broadcast(tuple(tables))
-    scored = rows.mapInArrow(_losses(model, vocabulary, classes), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
+    chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(0, -(-chars // bucket_chars) - 1).bit_length()
+    schema = "chunk bigint, bucket bigint, keys binary, counts binary, docs binary, background bigint, target bigint"
+    coded = written(_flagged(rows, ids, marks).mapInArrow(_coded(bits, chunk_tokens), schema), "chunks")
+    tokens_of = tuple(coded.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first())
+    coded = coded.drop("background", "target")
+    asked = coded.where("bucket >= 0")
+    seen = asked.where(F.col("bucket") < 1 << bits).select("bucket", "keys").groupBy("bucket").applyInArrow(_distinct, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    size = max(seen - 1, words or 0) + classes  # word 0 is none of the corpus
+    answers = asked.groupBy("bucket").applyInArrow(_answered, coded.schema)
+    scored = coded.where("bucket < 0").unionByName(answers).groupBy("chunk").applyInArrow(
+        _losses(bits, tokens_of, size, weight), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double"
+    )
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
