@@ -229,6 +229,16 @@ def test_op6_salted_and_broadcast_agree(docs):
     assert near == far and any(r[3] >= 0 for r in near)
 
 
+def test_op6_withstands_two_fifths_junk(spark):
+    import random
+
+    rng = random.Random(5)
+    junk = lambda i: " ".join(w + "#$" * (rng.random() < 0.5) for w in prose(i).split())
+    rows = [(i, prose(i), "en", "s") for i in range(120)] + [(i, junk(i), "en", "s") for i in range(200, 280)]
+    got = {r.doc_id: r.kept for r in outliers.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert sum(got[i] for i in range(120)) == 120 and not any(got[i] for i in range(200, 280))
+
+
 def test_op7_rules_and_trees(spark):
     rows = [(1, "https://a.example.com/en/71"), (2, "http://X.COM/en/8"), (3, "https://b.example.net/de/8"), (4, "http://spam-farm.example.org/fr/1"), (5, None), (6, "no scheme"), (7, "https://plain.example.net/fr/2?x=1#y"), (7, "https://plain.example.net/fr/2?x=1#y")]
     rows += [(100 + i, f"https://host{i % 7}.example.net/en/{i}") for i in range(60)] + [(200 + i, f"https://m.cheap-pills.example.org/en/{i}") for i in range(12)]

@@ -1,13 +1,18 @@
 """Operator 6: quality rules by robust multivariate outliers, in DataFrame functions alone.
 
 Minimum-covariance-determinant estimates are found per language and source by
-concentration steps: from a start on medians, each step takes mean and
-covariance of the rows nearest to the last estimate.  Rows whose robust
+concentration steps: from each of three fixed starts (spreads by medians,
+covariances of hyperbolic tangents and of spatial signs), each step takes mean
+and covariance of the half of the rows nearest to the last estimate, until the
+determinant stands still; the smallest determinant is kept.  Rows whose robust
 Mahalanobis distance is beyond a cutoff are rejected.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +25,9 @@ STATS = {"x0": 0.08, "x1": 0.10, "x2": 0.06, "x3": 0.12}
 CHI_MEDIAN = 3.3567
 CUTOFF = 40.0
 MIN_ROWS = 40
-CORE = 0.75
+STARTS = 3
+#: A start has settled when a step lowers its log determinant by no more.
+SETTLED = 1e-3
 #: Most languages with sources, and most bytes of their names, whose estimates are broadcast; beyond that rows are salted.
 CELLS, CELL_BYTES, SALTS = 50_000, 8_000_000, 64
 
@@ -58,29 +65,51 @@ def _looked_up(rows: DataFrame, small: DataFrame, on: list[str], few: bool, how:
     return rows.withColumn("_salt", salt).join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def _estimate(rows: DataFrame, inside: Column) -> DataFrame:
-    """Mean and Cholesky factor of the rows ``inside``, per cell; spreads have a floor."""
+def _consistency(share: float) -> float:
+    """What the covariance of the nearest ``share`` of normal rows is multiplied by, for four statistics."""
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - math.exp(-middle / 2) * (1 + middle / 2) < share else (low, middle)
+    x = low / 2
+    return share / (1 - math.exp(-x) * (1 + x + x * x / 2))
+
+
+def _nearest(now: DataFrame, few: bool) -> DataFrame:
+    """The estimate of the h = (n + p + 1) / 2 rows of least ``d2`` of each cell, h being rounded up to a percent of the n rows."""
+    shares = [k / 100 for k in range(50, 101)]
+    edges = now.groupBy("cell").agg(F.percentile_approx("d2", F.array(*map(F.lit, shares)), F.lit(2000)).alias("edges"), F.count("*").alias("n"))
+    half = F.floor((F.col("n") + len(STATS) + 1) / 2)
+    at = F.least(F.ceil(100 * half / F.col("n")) - 50, F.lit(50)).cast("int")
+    edges = edges.select("cell", F.get("edges", at).alias("edge"), F.get(F.array(*(F.lit(_consistency(k)) for k in shares)), at).alias("factor"))
+    return _estimate(_looked_up(now, edges, ["cell"], few), F.col("d2") <= F.col("edge"), F.col("factor"))
+
+
+def _estimate(rows: DataFrame, inside: Column, factor: Column) -> DataFrame:
+    """Mean, Cholesky factor and log determinant of the rows ``inside``, per cell; covariances are multiplied by ``factor``, spreads have a floor."""
     names = list(STATS)
-    aggregates = [F.avg(F.when(inside, F.col(a))).alias(f"m_{a}") for a in names]
+    aggregates = [F.max(factor).alias("factor")]
+    aggregates += [F.avg(F.when(inside, F.col(a))).alias(f"m_{a}") for a in names]
     for i, a in enumerate(names):
         for b in names[: i + 1]:
             aggregates.append(F.covar_pop(F.when(inside, F.col(a)), F.when(inside, F.col(b))).alias(f"c_{a}{b}"))
     made = rows.groupBy("cell").agg(*aggregates)
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
-            rest = F.coalesce(F.col(f"c_{a}{b}"), F.lit(0.0))
+            rest = F.coalesce(F.col(f"c_{a}{b}"), F.lit(0.0)) * F.col("factor")
             if a == b:
                 rest = rest + STATS[a] ** 2
             for e in names[:j]:
                 rest = rest - F.col(f"l_{a}{e}") * F.col(f"l_{b}{e}")
             made = made.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}{b}"))
-    return made.select("cell", *(f"m_{a}" for a in names), *(f"l_{a}{b}" for i, a in enumerate(names) for b in names[: i + 1]))
+    logdet = 2 * sum(F.log(f"l_{a}{a}") for a in names)
+    return made.select("cell", logdet.alias("logdet"), *(f"m_{a}" for a in names), *(f"l_{a}{b}" for i, a in enumerate(names) for b in names[: i + 1]))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+def _distance(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "left") -> DataFrame:
     """Squared Mahalanobis distances ``d2`` of ``rows``, by forward substitution."""
     names = list(STATS)
-    out = _looked_up(rows, estimate, ["cell"], few, "left")
+    out = _looked_up(rows, estimate, ["cell"], few, how)
     total = F.lit(0.0)
     for i, a in enumerate(names):
         z = F.col(a) - F.col(f"m_{a}")
@@ -91,7 +120,7 @@ def _distance(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     return out.select(*rows.columns, total.alias("d2"))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, core: float = CORE, steps: int = 3, min_rows: int = MIN_ROWS, broadcast_cells: int = CELLS) -> DataFrame:
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS, broadcast_cells: int = CELLS) -> DataFrame:
     """Base statistics and the verdict of every row of ``docs`` (doc_id, text, lang, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -136,12 +165,34 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, core: float = CORE, s
     middle = rows.groupBy("cell").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in STATS))
     off = _looked_up(rows, middle, ["cell"], few).groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000).alias(f"s_{a}") for a in STATS))
     start = middle.join(off, "cell")
-    d2 = sum(((F.col(a) - F.col(f"m_{a}")) / (1.4826 * F.col(f"s_{a}") + floor)) ** 2 for a, floor in STATS.items())
-    now = _looked_up(rows, start, ["cell"], few).select(*rows.columns, d2.alias("d2"))
-    for _ in range(steps):
-        edge = now.groupBy("cell").agg(F.percentile_approx("d2", core, 2000).alias("edge"))
-        estimate = written(_estimate(_looked_up(now, edge, ["cell"], few), F.col("d2") <= F.col("edge")), "estimate")
-        now = _distance(rows, estimate, few)
+    # every start has cells of its own, named by its number before the cell's name
+    z = {a: (F.col(a) - F.col(f"m_{a}")) / (1.4826 * F.col(f"s_{a}") + floor) for a, floor in STATS.items()}
+    scaled = _looked_up(rows, start, ["cell"], few).select("doc_id", "cell", *(z[a].alias(a) for a in STATS), F.struct(*STATS).alias("raw"))
+    norm = F.sqrt(sum(F.col(a) * F.col(a) for a in STATS))
+    named = lambda k: F.concat(F.lit(str(k)), "cell").alias("cell")
+    bent = scaled.select("doc_id", named(1), *(F.tanh(a).alias(a) for a in STATS))
+    bent = bent.unionByName(scaled.select("doc_id", named(2), *((F.col(a) / F.greatest(norm, F.lit(1e-9))).alias(a) for a in STATS)))
+    shapes = written(_estimate(bent, F.lit(True), F.lit(1.0)), "starts")
+    few_starts = few and STARTS * n_cells <= broadcast_cells
+    turned = scaled.withColumn("cell", F.explode(F.array(named(1), named(2))))
+    now = scaled.select("doc_id", named(0), "raw.*", (norm * norm).alias("d2"))
+    now = now.unionByName(_distance(turned, shapes, few_starts).select("doc_id", "cell", "raw.*", "d2"))
+    every = rows.withColumn("cell", F.explode(F.array(*(named(k) for k in range(STARTS)))))
+    moving = written(_nearest(now, few_starts), "estimate")
+    settled = []
+    while True:  # ends, since each start that goes on falls by more than SETTLED, and the floors bound it
+        after = _nearest(_distance(every, moving, few_starts, "inner"), few_starts)
+        both = moving.select("cell", F.struct(*moving.columns).alias("old")).join(after.select("cell", F.struct(*after.columns).alias("new")), "cell")
+        falls = F.col("new.logdet") < F.col("old.logdet") - SETTLED
+        both = written(both.select(falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e")), "estimate")
+        settled.append(both.where("not coalesce(falls, false)").select("e.*"))
+        if both.where("falls").isEmpty():
+            break
+        moving = both.where("falls").select("e.*")
+    found = reduce(DataFrame.unionByName, settled)
+    least = found.groupBy(F.substring("cell", 2, 1 << 30).alias("name")).agg(F.min(F.struct("logdet", *(c for c in found.columns if c != "logdet"))).alias("e"))
+    estimate = written(least.select("name", "e.*").drop("cell", "logdet").withColumnRenamed("name", "cell"), "estimate")
+    now = _distance(rows, estimate, few)
     scale = now.groupBy("cell").agg(F.greatest(F.percentile_approx("d2", 0.5, 2000) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
     scale = scale.where(F.col("n") >= min_rows)
     judged = _looked_up(table, cells, ["lang", "source"], few, "left").drop("lang", "source")
