@@ -41,3 +41,13 @@ def test_tail_probabilities():
 def test_predictive_power(spark):
     got = {r.threshold: r for r in model.predictive_power(frame(spark), ["a", "b"], (0.0, 0.5)).collect()}
     assert got[0.0].auc is None and 0 <= got[0.5].auc <= 1 and abs(got[0.5].coef_b) < 1e-6
+
+
+def test_normality_of_large_sides(spark):
+    rng = random.Random(4)
+    f = spark.createDataFrame([(1.0, rng.gauss(5, 2), float(rng.randint(0, 3))) for _ in range(6000)], "score double, a double, b double")
+    got = {r.feature: r for r in stats.normality(stats.tall(f, ["a", "b"], (0.5,))).collect()}
+    assert all(r.approximate for r in got.values()) and got["a"].p > 0.001 and got["b"].p < 1e-6
+    # the sums give what the list of values gives where both hold
+    small = stats.tall(f.limit(900), ["a"], (0.5,)).localCheckpoint()
+    assert math.isclose(stats._normality_large(small).first().p, special.shapiro_p([r.value for r in small.collect()]), rel_tol=1e-6)

@@ -101,3 +101,21 @@ def shapiro_p(values) -> float | None:
         mu = -1.5861 - 0.31082 * ln - 0.083751 * ln**2 + 0.0038915 * ln**3
         sd = math.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln**2)
     return normal_tail((y - mu) / sd)
+
+
+def shapiro_p_large(n: int, square: float, dot: float, x1: float, x2: float, y2: float, y1: float, spread: float) -> float:
+    """p of normality of more than 11 values, from sums of m*m and m*x over the normal scores m, the two values at each end and the squared deviations."""
+    if x1 == y1:
+        return 1.0
+    m1, m2 = (-normal_quantile((i - 0.375) / (n + 0.25)) for i in (1, 2))
+    u = 1 / math.sqrt(n)
+    last = m1 / math.sqrt(square) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    second = m2 / math.sqrt(square) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    phi = (square - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * second**2)
+    inner = (dot - m1 * (y1 - x1) - m2 * (y2 - x2)) / math.sqrt(phi)
+    w = (inner + last * (y1 - x1) + second * (y2 - x2)) ** 2 / spread
+    if w >= 1:
+        return 1.0
+    ln = math.log(n)
+    mu = -1.5861 - 0.31082 * ln - 0.083751 * ln**2 + 0.0038915 * ln**3
+    return normal_tail((math.log(1 - w) - mu) / math.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln**2))

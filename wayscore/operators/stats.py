@@ -80,8 +80,39 @@ def cohens_d(rows: DataFrame) -> DataFrame:
     return m.select("threshold", "feature", "n_s", "n_f", d.alias("d"), cohens_label(d).alias("d_size"))
 
 
+def _normality_large(rows: DataFrame) -> DataFrame:
+    """Shapiro-Wilk p of each side from sums over ranks, whatever the number of values."""
+    from wayscore.functions.special import normal_quantile, shapiro_p_large
+
+    keys = ["threshold", "feature", "success"]
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("spread"))
+    below = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.groupBy(*keys, "value").agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
+    each = each.join(F.broadcast(whole), keys).withColumn("x", F.col("value") - F.col("mean")).select(*keys, "x", "c", "below", "n", "spread")
+
+    def scores(frames):
+        for f in frames:
+            made = []
+            for r in f.itertuples():
+                m = [normal_quantile((i - 0.375) / (r.n + 0.25)) for i in range(r.below + 1, r.below + r.c + 1)]
+                made.append((sum(m) * r.x, sum(v * v for v in m)))
+            yield f.assign(dot=[a for a, _ in made], square=[b for _, b in made])
+
+    types = "threshold double, feature string, success boolean"
+    made = each.mapInPandas(scores, f"{types}, x double, c bigint, below bigint, n bigint, spread double, dot double, square double")
+    n = F.col("n")
+    ends = [F.max(F.when((F.col("below") < r) & (r <= F.col("below") + F.col("c")), F.col("x"))).alias(e) for e, r in (("x1", F.lit(1)), ("x2", F.lit(2)), ("y2", n - 1), ("y1", n))]
+    made = made.groupBy(*keys, "n", "spread").agg(F.sum("square").alias("square"), F.sum("dot").alias("dot"), *ends)
+
+    def test(frames):
+        for f in frames:
+            yield f[keys].assign(p=[shapiro_p_large(r.n, r.square, r.dot, r.x1, r.x2, r.y2, r.y1, r.spread) for r in f.itertuples()])
+
+    return made.mapInPandas(test, f"{types}, p double")
+
+
 def normality(rows: DataFrame) -> DataFrame:
-    """Shapiro-Wilk p of each side; sides beyond the range of its approximation (5000 values) get null, and no task gathers them."""
+    """Shapiro-Wilk p of each side; ``approximate`` where a side has more than 5000 values, beyond the formula's range."""
     import pandas as pd
 
     from wayscore.functions.special import shapiro_p
@@ -93,7 +124,9 @@ def normality(rows: DataFrame) -> DataFrame:
         return pd.DataFrame([(*key, shapiro_p(frame["value"]))], columns=["threshold", "feature", "success", "p"])
 
     tested = within.groupBy("threshold", "feature", "success").applyInPandas(test, "threshold double, feature string, success boolean, p double")
-    return sizes.join(tested, ["threshold", "feature", "success"], "left")
+    large = F.col("n") > SHAPIRO_MOST
+    beyond = rows.join(sizes.where(large).drop("n"), ["threshold", "feature", "success"], "left_semi")
+    return sizes.join(tested.unionByName(_normality_large(beyond)), ["threshold", "feature", "success"], "left").withColumn("approximate", large)
 
 
 def p_values(rows: DataFrame) -> DataFrame:
