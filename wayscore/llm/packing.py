@@ -3,16 +3,17 @@
 A document gives whole windows of its own and one tail.  Tails are placed
 online: the fill level that a tail is put on is the one that makes the sum of
 squared counts of partly filled windows smallest, with the counts held in one
-array of levels.  Each Spark partition runs its own instance, in a fixed
-order, so a task that is run again gives the same rows.  When a partition's
-tails are all placed, the windows still partly filled are laid end to end and
-cut at the window size; what is left over is cut at powers of two, which need
-no padding.
+array of fill levels, a few tokens wide each.  A window is closed when it is
+full to the last token: a tail may overshoot by less than a level, and what
+overshoots is placed next.  Each Spark partition runs its own instance, in a
+fixed order, so a task that is run again gives the same rows.  When a
+partition's tails are all placed, the few windows still partly filled are laid
+end to end and cut at the window size; what is left over is cut at powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from wayscore.llm.common import small_batches
 
 WINDOW = 2048
 END_ID = 1
+#: Fill levels that windows are told apart by.
+LEVELS = 64
 
 
 def default_tokenizer() -> str:
@@ -154,143 +157,183 @@ def token_encoder(path: str):
 
 
 def _windows(path: str, window: int, end_id: int):
-    """Per document: its whole windows as finished pieces (tail null), and its tail with its ids."""
+    """Per document: its pieces of a window at most, with their ids."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         encode = token_encoder(path)
+        names = ["doc_id", "start", "doc_tokens", "ids"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            rows = ([], [], [], [], [], [])
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = ([], [], [], [])
+            held = 0
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                n = len(ids)
-                for start in range(0, n, window):
-                    piece = ids[start : start + window]
-                    tail = piece.astype("<u4").tobytes() if len(piece) < window else None
-                    crc = zlib.crc32(piece.tobytes())
-                    for column, value in zip(rows, (doc, start, len(piece), crc, n, tail)):
+                for start in range(0, len(ids), window):
+                    for column, value in zip(rows, (doc, start, len(ids), ids[start : start + window].tobytes())):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "tail"]
-            )
+                held += len(ids)
+                if held > 4_000_000:  # few long texts to a batch
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
+                    rows, held = ([], [], [], []), 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
     return run
 
 
 class SumOfSquares:
-    """Online placing of sizes below ``window`` into windows, by a level array.
+    """Online placing of sizes below ``window`` into windows, by an array of ``levels`` fill levels.
 
-    Putting size s on level h (0: a new window) changes the sum of squared
-    counts by 2*(N[h+s] - N[h]) + 2, with the terms of empty and full windows
-    left out; the smallest change wins, then the fullest level.
+    A size goes on the level that makes the sum of squared counts of partly
+    filled windows smallest, or into a new window; of equal changes on the
+    fullest level.  It may overshoot its window by less than a level: the
+    window is then full, and what overshoots comes back to be placed next.
     """
 
-    def __init__(self, window: int):
+    def __init__(self, window: int, levels: int = LEVELS):
         import numpy as np
 
         self.np, self.window = np, window
-        self.counts = np.zeros(window + 1, dtype=np.int64)
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
-
-    def place(self, size: int, item) -> list | None:
-        """Places ``item``; returns the items of the window it fills, if it fills one."""
-        np, counts, w = self.np, self.counts, self.window
-        # N[w] is kept 0: a full window is not partly filled
-        change = 2 * counts[size : w + 1] - 2 * counts[: w + 1 - size] + 2
-        change[0] = 2 * counts[size] + 1  # a new window leaves no level
-        change[-1] = 1 - 2 * counts[w - size] if w > size else 0
-        usable = counts[: w + 1 - size] > 0
-        usable[0] = True
+        self.grain = -(-window // levels)
+        self.levels = -(-window // self.grain)
+        self.counts = np.zeros(self.levels + 1, dtype=np.int64)  # the last stands for full windows and stays 0
+        #: Fill of the window that is next on each level.
+        self.next = np.zeros(self.levels, dtype=np.int64)
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.levels)]
+
+    def level(self, size: int) -> int | None:
+        """The level that ``size`` goes on; None for a new window."""
+        np, counts = self.np, self.counts
+        after = self.next + size
+        to = np.minimum(after, self.window) // self.grain
+        to[after >= self.window] = self.levels
+        change = 2 * (counts[to] - counts[:-1]) + 2
+        change[to == self.levels] -= 1  # a full window adds to no level
+        change[to == np.arange(self.levels)] = 0
+        usable = (counts[:-1] > 0) & (after < self.window + self.grain)
         change = np.where(usable, change, np.iinfo(np.int64).max)
-        level = int(len(change) - 1 - np.argmin(change[::-1]))
-        held = self.open[level].pop() if level else []
+        best = int(self.levels - 1 - np.argmin(change[::-1]))
+        return best if change[best] <= 2 * counts[size // self.grain] + 1 else None
+
+    def place(self, size: int, item) -> tuple[list, int] | None:
+        """Places ``item``; for a window that it fills, returns that window's items and by how much the last overshoots."""
+        at = self.level(size)
+        fill, held = 0, []
+        if at is not None:
+            fill, held = self.open[at].pop()
+            self.counts[at] -= 1
+            self.next[at] = self.open[at][-1][0] if self.open[at] else 0
         held.append(item)
-        if level:
-            counts[level] -= 1
-        if level + size == w:
-            return held
-        counts[level + size] += 1
-        self.open[level + size].append(held)
+        if fill + size >= self.window:
+            return held, fill + size - self.window
+        to = (fill + size) // self.grain
+        self.open[to].append((fill + size, held))
+        self.counts[to] += 1
+        self.next[to] = fill + size
         return None
 
     def rest(self) -> list[list]:
-        return [held for level in self.open for held in level]
+        """The items of the windows that are still partly filled, the fullest first."""
+        return [held for level in self.open[::-1] for _, held in level]
 
 
-def _packed(window: int):
-    fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def closed(items: list, sequence, offset: int = 0):
-        for doc, start, ids, crc, n in items:
-            yield doc, start, len(ids) // 4, crc, n, sequence, offset
-            offset += len(ids) // 4
+def _packed(window: int, levels: int):
+    fields = ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "placed", "ids"]
+    kinds = ["int64"] * 5 + ["bool_", "binary"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        made = 0
-        rule = SumOfSquares(window)
+        made = held = 0
+        rule = SumOfSquares(window, levels)
         out: list[tuple] = []
 
+        def close(items: list, placed: bool) -> None:
+            nonlocal made, held
+            offset = 0
+            for doc, start, n, ids in items:
+                out.append((doc, start, n, base + made, offset, placed, ids))
+                offset += len(ids) // 4
+            made, held = made + 1, held + offset
+
         def flush():
+            nonlocal held
             columns = list(zip(*out)) or [()] * len(fields)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], fields)
+            out.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, getattr(pa, k)()) for c, k in zip(columns, kinds)], fields)
+
+        def cut(item, size: int) -> tuple:
+            doc, start, n, ids = item
+            return (doc, start, n, ids[: 4 * size]), (doc, start + size, n, ids[4 * size :])
 
         for batch in batches:
-            for doc, start, length, crc, n, tail in zip(*(c.to_pylist() for c in batch.columns)):
-                if tail is None:
-                    out.append((doc, start, length, crc, n, base + made, 0))
-                    made += 1
-                elif (full := rule.place(length, (doc, start, tail, crc, n))) is not None:
-                    out.extend(closed(full, base + made))
-                    made += 1
-            if len(out) > 5_000:
+            for item in zip(*(c.to_pylist() for c in batch.columns)):
+                while item:
+                    size = len(item[3]) // 4
+                    if size == window:
+                        close([item], True)
+                        break
+                    full = rule.place(size, item)
+                    item = None
+                    if full:
+                        items, over = full
+                        if over:
+                            items[-1], item = cut(items[-1], len(items[-1][3]) // 4 - over)
+                        close(items, True)
+            if held > 1_000_000:
                 yield flush()
-                out.clear()
-        # the partly filled windows: end to end, cut at the window, the remainder at powers of two
-        queue = [item for held in rule.rest() for item in held]
-        left = sum(len(item[2]) // 4 for item in queue)
-        queue.reverse()
+        # the last windows, still partly filled: end to end, cut at the window, the remainder at powers of two
+        queue = [item for items in rule.rest() for item in items][::-1]
+        left = sum(len(item[3]) // 4 for item in queue)
         while left:
             room = window if left >= window else 1 << (left.bit_length() - 1)
-            offset = 0
-            while offset < room:
-                doc, start, ids, crc, n = queue.pop()
-                take = min(len(ids) // 4, room - offset)
-                if take < len(ids) // 4:
-                    queue.append((doc, start + take, ids[4 * take :], zlib.crc32(ids[4 * take :]), n))
-                    crc = zlib.crc32(ids[: 4 * take])
-                out.append((doc, start, take, crc, n, base + made, offset))
-                offset += take
+            items, need = [], room
+            while need:
+                item = queue.pop()
+                if len(item[3]) // 4 > need:
+                    item, later = cut(item, need)
+                    queue.append(later)
+                items.append(item)
+                need -= len(item[3]) // 4
+            close(items, False)
             left -= room
-            made += 1
         yield flush()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID, levels: int = LEVELS) -> DataFrame:
     """Packs every row of ``docs`` (doc_id, text) into sequences of at most ``window`` ids.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    one row per piece.  A null or empty text is the end id alone.  Repeated
-    rows and null doc_ids are packed like any other.  An empty table gives no
-    rows.  Other columns are ignored.  Sequence ids are unique, not dense.
-    Tails are dealt by a hash of (doc_id, text length), so no source or group
-    of copies gathers in a task.
+    Returns one row per piece: doc_id, start (its document's ids before it),
+    doc_tokens, sequence_id, offset, placed (false for the pieces of the last
+    windows of a partition, which are cut end to end), and ids, the piece's
+    ids as little-endian unsigned 32-bit integers.
+
+    A null or empty text is the end id alone.  Repeated rows and null doc_ids
+    are packed like any other.  An empty table gives no rows.  Other columns
+    are ignored.  Sequence ids are unique, not dense.  Pieces are dealt by a
+    hash of doc_id, start and ids, so no source or group of copies gathers in
+    a task, and each task holds as many open windows as the rule keeps on its
+    levels, whatever it reads.
     """
     small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, tail binary"
-    pieces = rows.mapInArrow(_windows(path, window, end_id), schema)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(parts, F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions("doc_id", "start", "ids_crc32")
-    out = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return dealt.mapInArrow(_packed(window), out)
+    pieces = rows.mapInArrow(_windows(path, window, end_id), "doc_id bigint, start bigint, doc_tokens bigint, ids binary")
+    keys = ("doc_id", "start", F.xxhash64("ids"))
+    dealt = pieces.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    out = "doc_id bigint, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, placed boolean, ids binary"
+    return dealt.mapInArrow(_packed(window, levels), out)
+
+
+def digested(pieces: DataFrame) -> DataFrame:
+    """The pieces with length and checksum in place of their ids."""
+    length = (F.octet_length("ids") / 4).cast("bigint").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "placed")

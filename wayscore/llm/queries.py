@@ -25,7 +25,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.digested(packing.pack(_table(spark, sf_dir, "documents")))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
