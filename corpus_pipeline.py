@@ -36,8 +36,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at their fitted rates, so domains approach their target weights."""
-    return mixing.kept_by_rate(docs, mixing.mix(docs, _table(spark, sf_dir, "labels")))
+    """Documents stay at rates of at most one, so that domains with tokens to spare come down to their target weights."""
+    return mixing.kept_by_rate(docs, mixing.mix(docs, _table(spark, sf_dir, "labels"), headroom=1.0, most=1.0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
