@@ -4,8 +4,8 @@ A document gives whole windows of its own and one tail.  Tails are placed
 online: the fill level that a tail is put on is the one that makes the sum of
 squared counts of partly filled windows smallest, with the counts held in one
 array of fill levels, a few tokens wide each.  A window is closed when it is
-full to the last token: a tail may overshoot by less than a level, and what
-overshoots is placed next.  Each Spark partition runs its own instance, in a
+full to the last token: a tail may overshoot it, and what overshoots is placed
+next.  Each Spark partition runs its own instance, in a
 fixed order, so a task that is run again gives the same rows.  When a
 partition's tails are all placed, the few windows still partly filled are laid
 end to end and cut at the window size; what is left over is cut at powers of
@@ -25,6 +25,8 @@ WINDOW = 2048
 END_ID = 1
 #: Fill levels that windows are told apart by.
 LEVELS = 64
+#: Price, in squared counts, of cutting a document by a level or more.
+CUT = 16
 
 
 def default_tokenizer() -> str:
@@ -189,8 +191,10 @@ class SumOfSquares:
 
     A size goes on the level that makes the sum of squared counts of partly
     filled windows smallest, or into a new window; of equal changes on the
-    fullest level.  It may overshoot its window by less than a level: the
-    window is then full, and what overshoots comes back to be placed next.
+    fullest level.  It may overshoot its window: the window is then full, and
+    what overshoots comes back to be placed next.  By a level or more that
+    costs CUT besides, so it happens where windows of one level pile up, as
+    with sizes that don't add up to a window, and no level holds many.
     """
 
     def __init__(self, window: int, levels: int = LEVELS):
@@ -213,8 +217,8 @@ class SumOfSquares:
         change = 2 * (counts[to] - counts[:-1]) + 2
         change[to == self.levels] -= 1  # a full window adds to no level
         change[to == np.arange(self.levels)] = 0
-        usable = (counts[:-1] > 0) & (after < self.window + self.grain)
-        change = np.where(usable, change, np.iinfo(np.int64).max)
+        change[after >= self.window + self.grain] += CUT
+        change = np.where(counts[:-1] > 0, change, np.iinfo(np.int64).max)
         best = int(self.levels - 1 - np.argmin(change[::-1]))
         return best if change[best] <= 2 * counts[size // self.grain] + 1 else None
 
@@ -320,8 +324,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     are packed like any other.  An empty table gives no rows.  Other columns
     are ignored.  Sequence ids are unique, not dense.  Pieces are dealt by a
     hash of doc_id, start and ids, so no source or group of copies gathers in
-    a task, and each task holds as many open windows as the rule keeps on its
-    levels, whatever it reads.
+    a task, and each task holds the few open windows of each level, whatever it
+    reads.
     """
     small_batches(docs.sparkSession)
     path = tokenizer_path or default_tokenizer()

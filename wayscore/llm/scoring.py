@@ -1,7 +1,12 @@
 """Operator 5: cross-entropy difference between a target and a background model.
 
-Both are interpolated bigram models over every word of the corpus.  Texts are
-coded once, in chunks; a chunk sends its distinct words and pairs, as 64-bit
+Both are interpolated bigram models over every word of the corpus, and matched:
+they share the vocabulary, and the background's counts are brought to the
+target's number of tokens, so that smoothing weighs on both alike.  A document
+is scored by what the rest of the corpus holds: its own counts are taken away
+first.
+
+Texts are coded once, in chunks; a chunk sends its distinct words and pairs, as
 hashes with counts, to buckets of the hash space, and each bucket sends their
 totals back to the chunks that asked.  No vocabulary or model is gathered or
 broadcast: buckets and chunks grow in number with the input, not in size.
@@ -16,8 +21,10 @@ from pyspark.sql import functions as F
 
 from wayscore.llm.common import small_batches, written
 
-#: Tokens after which a chunk is closed, and characters of text to a bucket of the hash space.
-CHUNK, BUCKET = 500_000, 2_000_000
+#: Tokens after which a chunk is closed, and bytes of text to a bucket of the hash space.
+CHUNK, BUCKET = 1_500_000, 2_000_000
+#: Bits of a hash besides those that name its bucket: of a bucket's keys, one in 10**5 or fewer share theirs, at any size.
+KEY_BITS = 36
 #: Most bitmaps of 4 KB that mark target ids and may be broadcast (16 MB, 134 million ids where they are dense).
 MARKS = 4096
 
@@ -60,10 +67,10 @@ def _mixed(h):
     return h ^ (h >> np.uint64(31))
 
 
-def _pairs(hashes, tokens, lengths):
+def _pairs(hashes, tokens, lengths, shift):
     """Distinct pairs of a chunk in the order of their keys: keys, both words, and each token's pair.
 
-    Word 0 stands before each text.
+    Word 0 stands before each text.  Hashes are numbers of 64 - ``shift`` bits.
     """
     import numpy as np
 
@@ -71,13 +78,18 @@ def _pairs(hashes, tokens, lengths):
     before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
     code, at = np.unique(before * len(hashes) + tokens, return_inverse=True)
     a, b = code // len(hashes), code % len(hashes)
-    keys = _mixed(_mixed(hashes[a] ^ np.uint64(0x9E3779B97F4A7C15)) + hashes[b])
+    keys = _mixed(_mixed(hashes[a] ^ np.uint64(0x9E3779B97F4A7C15)) + hashes[b]) >> np.uint64(shift)
     order = np.argsort(keys, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     return keys[order], a[order], b[order], place[at.reshape(-1)]
 
 
+def _shift(bits: int) -> int:
+    """Low bits of a 64-bit hash that are dropped, with 2**``bits`` buckets."""
+    return max(0, 64 - bits - KEY_BITS)
+
+
 def _coded(bits: int, chunk_tokens: int):
     """Chunks of texts: one row of its coded documents (bucket -1), and its keys with counts by bucket (words from 0, pairs from 2**bits)."""
     names = ["chunk", "bucket", "keys", "counts", "docs", "background", "target"]
@@ -95,19 +107,20 @@ def _coded(bits: int, chunk_tokens: int):
 
         base = TaskContext.get().partitionId() << 32
         made = 0
+        shift = _shift(bits)
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
         def closed(words, parts, ids, chosen):
             lengths = np.array([len(p) for p in parts], dtype=np.int64)
             tokens = np.concatenate([np.zeros(0, np.int64), *parts])
             # word 0 has a hash of its own; sorted hashes make the codes independent of the order of words
-            raw = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+            raw = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)) >> np.uint64(shift)
             order = np.argsort(raw, kind="stable")
             place = np.empty(len(raw) + 1, dtype=np.int64)
             place[order + 1], place[0] = np.arange(1, len(raw) + 1), 0
-            hashes = np.append(np.uint64(0x5851F42D4C957F2D), raw[order])
+            hashes = np.append(np.uint64(0x5851F42D4C957F2D >> shift), raw[order])
             tokens = place[tokens]
-            keys, a, b, at = _pairs(hashes, tokens, lengths)
+            keys, a, b, at = _pairs(hashes, tokens, lengths, shift)
             inside = np.repeat(np.array(chosen, dtype=bool), lengths)
             pair = [np.bincount(x, minlength=len(keys)) for x in (at, at[inside])]
             word = [np.bincount(w, n, len(hashes)).astype(np.int64) for w in (b, a) for n in pair]
@@ -115,9 +128,9 @@ def _coded(bits: int, chunk_tokens: int):
             first = np.argsort(hashes, kind="stable")
             nulls = np.array([i is None for i in ids], dtype=np.int64)
             numbers = np.array([i or 0 for i in ids], dtype=np.int64)
-            yield base + made, -1, _steps(hashes), _planes(tokens.astype(np.int32)), _planes(np.concatenate((numbers, nulls, lengths))), len(tokens), int(inside.sum())
+            yield base + made, -1, _steps(hashes), _planes(tokens.astype(np.int32)), _planes(np.concatenate((numbers, nulls, lengths, np.array(chosen, dtype=np.int64)))), len(tokens), int(inside.sum())
             for offset, own, counts in ((0, hashes[first], [w[first] for w in word]), (1 << bits, keys, pair)):
-                bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+                bucket = (own >> np.uint64(64 - shift - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for i, j in zip(cuts, [*cuts[1:], len(own)]):
                     yield base + made, offset + int(bucket[i]), _steps(own[i:j]), _planes(np.concatenate([c[i:j] for c in counts]).astype(np.int32)), None, 0, 0
@@ -179,23 +192,35 @@ def _losses(bits: int, tokens_of: tuple[int, int], size: int, weight: float):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "counts", "docs"))), key=lambda r: r[0])
         _, hashes, tokens, docs = rows[0]
         hashes, tokens = _keys(hashes), _plain(tokens, "<i4").astype(np.int64)
-        ids, nulls, lengths = _plain(docs, "<i8").reshape(3, -1)
+        ids, nulls, lengths, chosen = _plain(docs, "<i8").reshape(4, -1)
         n = len(ids)
-        keys, a, b, at = _pairs(hashes, tokens, lengths)
+        keys, a, b, at = _pairs(hashes, tokens, lengths, _shift(bits))
         none = np.zeros((2, 0), np.int64)
         word = np.concatenate([_plain(c, "<i8").reshape(4, -1) for k, _, c, _ in rows[1:] if k < 1 << bits], axis=1)
         pair = np.concatenate([none, *(_plain(c, "<i8").reshape(2, -1) for k, _, c, _ in rows[1:] if k >= 1 << bits)], axis=1)
         back = np.empty_like(word)
         back[:, np.argsort(hashes, kind="stable")] = word
-        owner = np.repeat(np.arange(n), lengths)
+        # the distinct pairs of each document, and what the document itself has of them, of their contexts and of their words
+        code, times = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(keys)) + at, return_counts=True)
+        doc, which = code // max(1, len(keys)), code % max(1, len(keys))
+        a, b = a[which], b[which]
+
+        def own(w):
+            _, place = np.unique(doc * len(hashes) + w, return_inverse=True)
+            return np.bincount(place.reshape(-1), times)[place.reshape(-1)]
+
+        own_context, own_word = own(a), own(b)
         means = []
-        for which in (0, 1):
-            single = (back[which, b] + 1.0) / (tokens_of[which] + size)
-            context = back[2 + which, a]
+        for k, share in ((0, tokens_of[1] / max(1, tokens_of[0])), (1, 1.0)):
+            # of the background everything is the document's own, of the target only what it gave to it
+            mine = 1 if k == 0 else chosen[doc]
+            left = tokens_of[k] - (lengths if k == 0 else lengths * chosen)
+            single = (share * (back[k, b] - mine * own_word) + 1.0) / (share * left[doc] + size)
+            context = back[2 + k, a] - mine * own_context
             # the weight of a context grows with what was seen of it
-            trust = context / (context + weight)
-            loss = -np.log(trust * pair[which] / np.maximum(context, 1) + (1 - trust) * single)
-            means.append(np.bincount(owner, loss[at], n) / np.maximum(lengths, 1))
+            trust = share * context / (share * context + weight)
+            loss = -np.log(trust * (pair[k, which] - mine * times) / np.maximum(context, 1) + (1 - trust) * single)
+            means.append(np.bincount(doc, loss * times, n) / np.maximum(lengths, 1))
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls == 1), "n_tokens": pa.array(lengths), "target_loss": pa.array(means[1]), "background_loss": pa.array(means[0])})
 
     return run
@@ -224,13 +249,17 @@ def cross_entropy_difference(
 
     Returns doc_id, n_tokens, target_loss, background_loss, difference; lower
     is more like the target.  The background is every row, the target the rows
-    whose doc_id is in ``target_ids``.  Every word and pair of the corpus is
-    counted as itself.  Single words are smoothed by one over ``words`` (those
-    of the corpus, where not more are given) and ``classes`` unseen ones.
+    whose doc_id is in ``target_ids``; from both, the row that is scored is
+    left out.  The background's counts are multiplied by the target's share of
+    its tokens.  Every word and pair of the corpus is counted as itself.
+    Single words are smoothed by one over ``words`` (those of the corpus, where
+    not more are given) and ``classes`` unseen ones.
+
     Null and empty texts have no tokens and zero losses.  Repeated rows count
-    each time.  Null doc_ids are scored and never belong to the target.
-    Without any target row both its models are flat, and the difference still
-    finite.
+    each time, so a row's copies stay when it is left out.  Null doc_ids are
+    scored and never belong to the target.  Without any target row both models
+    are flat and differences zero.  An empty table gives no rows; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
