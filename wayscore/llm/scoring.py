@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from wayscore.llm.common import small_batches, written
 
 #: Tokens after which a chunk is closed, and bytes of text to a bucket of the hash space.
-CHUNK, BUCKET = 1_500_000, 2_000_000
-#: Bits of a hash besides those that name its bucket: of a bucket's keys, one in 10**5 or fewer share theirs, at any size.
-KEY_BITS = 36
+CHUNK, BUCKET = 1_000_000, 2_000_000
+#: Bits of a hash besides those that name its bucket: of a bucket's keys, some two in 10**5 share theirs, at any size.
+KEY_BITS = 34
 #: Most bitmaps of 4 KB that mark target ids and may be broadcast (16 MB, 134 million ids where they are dense).
 MARKS = 4096
 
@@ -85,6 +85,15 @@ def _pairs(hashes, tokens, lengths, shift):
     return keys[order], a[order], b[order], place[at.reshape(-1)]
 
 
+def _ranks(often):
+    """Place of each word by how often it occurs in its chunk, so that most tokens are small numbers; word 0 stays."""
+    import numpy as np
+
+    place = np.empty(len(often), dtype=np.int64)
+    place[np.append(0, 1 + np.argsort(-often[1:], kind="stable"))] = np.arange(len(often))
+    return place
+
+
 def _shift(bits: int) -> int:
     """Low bits of a 64-bit hash that are dropped, with 2**``bits`` buckets."""
     return max(0, 64 - bits - KEY_BITS)
@@ -128,7 +137,9 @@ def _coded(bits: int, chunk_tokens: int):
             first = np.argsort(hashes, kind="stable")
             nulls = np.array([i is None for i in ids], dtype=np.int64)
             numbers = np.array([i or 0 for i in ids], dtype=np.int64)
-            yield base + made, -1, _steps(hashes), _planes(tokens.astype(np.int32)), _planes(np.concatenate((numbers, nulls, lengths, np.array(chosen, dtype=np.int64)))), len(tokens), int(inside.sum())
+            often = np.bincount(tokens, minlength=len(hashes))
+            coded = np.append(often, _ranks(often)[tokens]).astype(np.int32)
+            yield base + made, -1, _steps(hashes), _planes(coded), _planes(np.concatenate((numbers, nulls, lengths, np.array(chosen, dtype=np.int64)))), len(tokens), int(inside.sum())
             for offset, own, counts in ((0, hashes[first], [w[first] for w in word]), (1 << bits, keys, pair)):
                 bucket = (own >> np.uint64(64 - shift - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -191,7 +202,9 @@ def _losses(bits: int, tokens_of: tuple[int, int], size: int, weight: float):
 
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "keys", "counts", "docs"))), key=lambda r: r[0])
         _, hashes, tokens, docs = rows[0]
-        hashes, tokens = _keys(hashes), _plain(tokens, "<i4").astype(np.int64)
+        hashes = _keys(hashes)
+        often, tokens = np.split(_plain(tokens, "<i4").astype(np.int64), [len(hashes)])
+        tokens = np.argsort(_ranks(often))[tokens]
         ids, nulls, lengths, chosen = _plain(docs, "<i8").reshape(4, -1)
         n = len(ids)
         keys, a, b, at = _pairs(hashes, tokens, lengths, _shift(bits))
