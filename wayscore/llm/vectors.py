@@ -11,6 +11,7 @@ they leave open is compared vector by vector.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -18,8 +19,21 @@ from pyspark.sql import functions as F
 
 from wayscore.llm.common import connected_components, small_batches, written
 
-#: Tables and probes for each number of concatenated hashes.
-TABLES = {1: (6, 3), 2: (8, 4), 3: (12, 6), 4: (20, 8), 5: (32, 10)}
+#: Buckets of a table for each vector, so that chance meetings stay as many for each vector at any size.
+SPARSE = 64
+
+
+def tables_for(hashes: int) -> tuple[int, int]:
+    """Tables and probes for a number of concatenated hashes, the last of them counted whole."""
+    return math.ceil(8 * 1.6 ** (hashes - 2)), max(3, 2 * hashes)
+
+
+def hashes_for(rows: int, width: int) -> tuple[int, int]:
+    """How many hashes of 2 * ``width`` values are concatenated, and the values that the last of them is folded to."""
+    hashes = 1
+    while (2 * width) ** hashes < SPARSE * max(rows, 2):
+        hashes += 1
+    return hashes, -(-SPARSE * max(rows, 2) // (2 * width) ** (hashes - 1))
 
 
 def _rotations(width: int, count: int, seed: int):
@@ -44,12 +58,16 @@ def _rotations(width: int, count: int, seed: int):
     return rotate
 
 
-def _codes(x, hashes: int, tables: int, probes: int, seed: int):
-    """Bucket codes of unit vectors ``x``: an int64 array (rows, tables, probes)."""
+def _width(d: int) -> int:
+    return max(2, 1 << (d - 1).bit_length())
+
+
+def _codes(x, hashes: int, tables: int, probes: int, seed: int, fold: int | None = None):
+    """Bucket codes of unit vectors ``x``: an int64 array (rows, tables, probes); the last hash is taken modulo ``fold``."""
     import numpy as np
 
     rows, d = x.shape
-    width = max(2, 1 << (d - 1).bit_length())
+    width = _width(d)
     padded = np.zeros((rows, width))
     padded[:, :d] = x
     rotate = _rotations(width, hashes * tables, seed)
@@ -77,7 +95,8 @@ def _codes(x, hashes: int, tables: int, probes: int, seed: int):
         chosen = np.argsort(cost, axis=1, kind="stable")[:, :probes]
         code = np.zeros((rows, len(combos)), dtype=np.int64)
         for h in range(hashes):
-            code = code * (2 * width) + np.stack([picks[h][:, c[h]] for c in combos], axis=1)
+            value = np.stack([picks[h][:, c[h]] for c in combos], axis=1)
+            code = code * (2 * width) + (value % fold if fold and h == hashes - 1 else value)
         code = np.take_along_axis(code, chosen, axis=1)
         if chosen.shape[1] < probes:
             code = np.concatenate([code, np.repeat(code[:, :1], probes - chosen.shape[1], axis=1)], axis=1)
@@ -143,7 +162,7 @@ def _cosines(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.clip(cos, -1, 1))], ["a", "b", "cosine"])
 
 
-def _buckets(hashes: int, tables: int, probes: int, seed: int):
+def _buckets(total: int, hashes: int | None, seed: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -151,7 +170,8 @@ def _buckets(hashes: int, tables: int, probes: int, seed: int):
         for batch in batches:
             rep, raw = np.asarray(batch.column(0)), batch.column(1).to_pylist()
             for at, x in _by_width(raw):
-                codes = _codes(x, hashes, tables, probes, seed).reshape(len(at), -1)
+                k, fold = (hashes, None) if hashes else hashes_for(total, _width(x.shape[1]))
+                codes = _codes(x, k, *tables_for(k), seed, fold).reshape(len(at), -1)
                 pairs = np.unique(np.stack([codes.ravel(), np.repeat(rep[at], codes.shape[1])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["code", "rep"])
 
@@ -173,22 +193,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, hashes: int | None = N
     are linked with nothing, as are vectors of different lengths with each
     other and rows without a vec_id (component null, kept).  Rows repeated
     under one vec_id count as one vector, one of its rows standing for it.
-    Labels and other columns are ignored.  The number of concatenated hashes
-    grows with the logarithm of the row count, and the tables with it, so
-    buckets stay small and recall doesn't fall; no bucket is capped.
+    Labels and other columns are ignored.  An empty table gives no rows.  The
+    number of buckets of a table grows in proportion to the row count, and the
+    tables with its logarithm, so buckets stay small and recall doesn't fall;
+    no bucket is capped.
     """
-    import math
-
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     link = math.acos(cosine)
     tight = math.cos(link / 2 - 1e-6)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     named = rows.where("vec_id is not null").dropDuplicates(["vec_id"])
     units = written(named.mapInArrow(_units(ball_rounds, 3, seed), "vec_id bigint, v array<double>, keys array<bigint>"), "units")
     total = units.count()
-    k = hashes or max(2, min(5, math.ceil(math.log(8 * max(total, 2), 128))))
-    tables, probes = TABLES[k]
 
     # balls: in each round, vectors that still stand alone join the largest ball that shares their key
     ball = units.select("vec_id", F.col("vec_id").alias("rep"))
@@ -209,7 +226,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, hashes: int | None = N
     heads = written(sizes.join(radius, "rep", "left").select("rep", "n", F.coalesce("radius", F.lit(0.0)).alias("radius")), "heads")
 
     placed = units.join(ball, "vec_id").select("rep", "v")
-    buckets = written(placed.mapInArrow(_buckets(k, tables, probes, seed), "code bigint, rep bigint").distinct(), "buckets")
+    buckets = written(placed.mapInArrow(_buckets(total, hashes, seed), "code bigint, rep bigint").distinct(), "buckets")
     one, two = buckets.select("code", F.col("rep").alias("a")), buckets.select("code", F.col("rep").alias("b"))
     pairs = one.join(two, "code").where("a < b").select("a", "b").distinct()
     met = _cosine_of(pairs, v_a, v_b)
@@ -249,16 +266,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, hashes: int | None = N
     edges = met.where("kind = 'all'").select("a", "b")
     edges = edges.union(told.where("kind = 'all'").join(home, "x").select("a", "b"))
     edges = edges.union(single_links.join(home, "x").join(home.select(F.col("x").alias("y"), F.col("a").alias("b")), "y").select("a", "b"))
-    label = connected_components(edges)
-    marked = ball.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = marked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    counted = (
-        marked.join(least, "component")
-        .join(sizes, "rep")
-        .join(whole, "rep", "left")
-        .join(extra, "vec_id", "left")
-        .select("vec_id", (F.col("n") - 1 + F.coalesce("whole", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id")
-    )
+    # each ball's smallest vec_id is tied to it, so that components go by the smallest of all
+    lows = ball.groupBy("rep").agg(F.min("vec_id").alias("low"))
+    label = connected_components(edges.union(lows.where("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b"))))
+    of_ball = sizes.join(whole, "rep", "left").join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    of_ball = of_ball.select("rep", (F.col("n") - 1 + F.coalesce("whole", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component_id"))
+    counted = ball.join(of_ball, "rep").join(extra, "vec_id", "left").select("vec_id", (F.col("links") + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id")
     return (
         rows.select("vec_id")
         .join(counted, "vec_id", "left")
