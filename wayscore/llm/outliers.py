@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from wayscore.llm.common import SPACE, written
 
 SYMBOLS = "#*$%&|<>"
-#: Transformed statistics, and the least spread that each is taken to have.
+#: Transformed statistics, and the least spread that each is taken to have: where most documents have none of a statistic its
+#: own spread is nil, and a floor of a few hundredths keeps one symbol or repeated line in a hundred words from being an outlier.
 STATS = {"x0": 0.08, "x1": 0.10, "x2": 0.06, "x3": 0.12}
 #: Median of the chi-square distribution with four degrees of freedom.
 CHI_MEDIAN = 3.3567
-CUTOFF = 40.0
+#: Squared distance beyond which one in 100,000 rows of a normal distribution lies (chi-square with four degrees of freedom).
+CUTOFF = 28.47
 MIN_ROWS = 40
 STARTS = 3
 #: A start has settled when a step lowers its log determinant by no more.
@@ -129,9 +131,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_R
 
     Null or empty texts have no words and fail the base rules.  Null languages
     or sources are values of their own.  A language and source with fewer than
-    ``min_rows`` rows that pass the base rules shares the estimate of its
-    language's other small sources, and those of the corpus where these are
-    still too few; if that fails too, the base rules decide alone.  Repeated
+    ``min_rows`` rows that pass the base rules is judged by the estimate of all
+    rows of its language, and by that of the corpus where the language has too
+    few; if the corpus has too few, the base rules decide alone.  Repeated
     rows count each time.  An empty table gives no rows.  Quantiles use
     mergeable sketches, so no group gathers in one task.
     """
@@ -149,18 +151,20 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_R
     )
     table = written(base, "statistics")
     passed = table.where(~F.col("base_failed"))
-    by_source = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_source = by_source.withColumn("large", F.col("n") >= min_rows)
-    by_lang = by_source.where("not large").groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    cells = by_source.join(by_lang, "lang", "left").select(
-        "lang",
-        "source",
-        F.when(F.col("large"), F.to_json(F.array("lang", "source"))).when(F.col("n_lang") >= min_rows, F.to_json(F.array("lang"))).otherwise("[]").alias("cell"),
-    )
+    by_source = written(passed.groupBy("lang", "source").agg(F.count("*").alias("n")), "sources")
+    by_lang = by_source.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min(F.col("n") >= min_rows).alias("all_large"))
+    own, lang, corpus = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("[]")
+    large, spoken = F.col("n") >= min_rows, F.col("n_lang") >= min_rows
+    # a source is judged by one cell; its rows also feed its language's and the corpus's where a small source needs those
+    scarce = F.lit(not by_lang.where(~F.col("all_large") & ~spoken).isEmpty())
+    feeds = F.filter(F.array(F.when(large, own), F.when(~F.col("all_large") & spoken, lang), F.when(scarce, corpus)), lambda c: c.isNotNull())
+    cells = by_source.join(by_lang, "lang").select("lang", "source", F.when(large, own).when(spoken, lang).otherwise(corpus).alias("cell"), feeds.alias("feeds"))
     cells = written(cells, "cells")
-    n_cells, n_bytes = cells.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("cell") + F.octet_length("lang") + F.octet_length("source")), F.lit(0))).first()
+    n_cells, n_bytes = cells.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("cell") * 2 + F.octet_length("lang") * 2 + F.octet_length("source")), F.lit(0))).first()
     few = n_cells <= broadcast_cells and n_bytes <= CELL_BYTES
-    rows = written(_looked_up(passed, cells, ["lang", "source"], few).select("doc_id", "cell", *STATS), "vectors")
+    rows = _looked_up(passed, cells.select("lang", "source", "feeds"), ["lang", "source"], few)
+    rows = written(rows.select("doc_id", F.explode("feeds").alias("cell"), *STATS), "vectors")
+    cells = cells.drop("feeds")
     # start: medians, and spreads from median absolute deviations
     middle = rows.groupBy("cell").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{a}") for a in STATS))
     off = _looked_up(rows, middle, ["cell"], few).groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 2000).alias(f"s_{a}") for a in STATS))
