@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayscore.llm import html, minhash, mixing, outliers, packing, quality, rollup, scoring, urls, vectors
+from wayscore.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +40,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.labelled_hosts(pages))
+    return urls.judge_urls(pages, urls.seed_labels(pages))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts every document, deletes those labelled as poor, revises the rest to a newer tokenizer; each batch is sent twice."""
     docs = _table(spark, sf_dir, "documents")
     poor = _table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
-    first, second = rollup.counted(docs, "words-1"), rollup.counted(docs, "words-2")
+    counts = written(rollup.all_counts(docs), "counts")  # texts are read once for all batches
+    first, second = rollup.of_version(counts, "words-1"), rollup.of_version(counts, "words-2")
     ledger = rollup.fresh_ledger(spark, "op8")
     spanish = F.col("lang") == "es"
     batches = {

@@ -22,7 +22,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Parts of host names by which training URLs are labelled as unwanted.
+#: Parts of host names by which seed URLs are labelled as unwanted, where no labelled URLs are given.
 UNWANTED = ("adult", "ads", "bets", "casino", "cheap", "farm", "free", "pills", "poker", "porn", "spam", "track", "viagra", "win", "xxx")
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "suffix_rate", "host_entropy")
 BINS = 16
@@ -88,10 +88,38 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def labelled_hosts(pages: DataFrame) -> DataFrame:
-    """Training URLs (url, label): 1 where a part of the host name is a known unwanted word, else 0."""
+def host_held_out(url: Column, fold: int = 0) -> Column:
+    """Whether a URL's host is kept from training: a fifth of the hosts, by crc32."""
+    return F.crc32(host_of(url).cast("binary")) % 5 == fold
+
+
+def seed_labels(pages: DataFrame, held_out: bool = True) -> DataFrame:
+    """Labelled URLs (url, label) where none are given: 1 where a part of the host name is in UNWANTED, else 0.
+
+    No feature shows the words themselves.  With ``held_out`` a fifth of the
+    hosts is left out of training; ``held_out_report`` tells how the trees
+    judge hosts they have not seen.  Null URLs and those without a host give
+    no label.
+    """
     parts = F.split(host_of(F.col("url")), r"[.\-]")
-    return pages.where("url is not null").select("url", F.arrays_overlap(parts, F.array(*map(F.lit, UNWANTED))).cast("int").alias("label"))
+    seeds = pages.select("url", F.arrays_overlap(parts, F.array(*map(F.lit, UNWANTED))).cast("int").alias("label"))
+    seeds = seeds.where(host_of(F.col("url")) != "")
+    return seeds.where(~host_held_out(F.col("url"))) if held_out else seeds
+
+
+#: Suffixes of host names, the most frequent ones first, whose label rate is a feature of its own; it bounds what is broadcast.
+SUFFIXES = 2000
+
+
+def suffix_rates(labelled: DataFrame) -> DataFrame:
+    """(suffix, suffix_rate): the smoothed label rate of the most frequent suffixes; all others have the rate of unseen ones."""
+    rate = labelled.withColumn("suffix", F.element_at(F.split(host_of(F.col("url")), r"\."), -1)).where(F.length("suffix") <= 63)
+    rate = rate.groupBy("suffix").agg(F.count("*").alias("n"), ((F.sum("label") + 1) / (F.count("*") + 20)).alias("suffix_rate"))
+    return rate.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).select("suffix", "suffix_rate")
+
+
+def _with_rates(urls: DataFrame, rates: DataFrame) -> DataFrame:
+    return urls.join(F.broadcast(rates), "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.05)))
 
 
 class BoostedTrees:
@@ -101,7 +129,7 @@ class BoostedTrees:
     splits (feature, bin, left, right) with numbers as leaves.
     """
 
-    def __init__(self, rounds: int = 10, depth: int = 2, rate: float = 0.4, penalty: float = 1.0):
+    def __init__(self, rounds: int = 16, depth: int = 3, rate: float = 0.3, penalty: float = 1.0):
         self.rounds, self.depth, self.rate, self.penalty = rounds, depth, rate, penalty
         self.edges: dict[str, list[float]] = {}
         self.trees: list = []
@@ -187,6 +215,17 @@ class BoostedTrees:
         return shape(1)
 
 
+def trained(labelled: DataFrame) -> tuple[BoostedTrees, DataFrame]:
+    """Trees grown on ``labelled`` (url, label: 1 block), and the rates of suffixes they go by."""
+    rates = written(suffix_rates(labelled), "suffixes")
+    rows = _with_rates(lexical(labelled), rates)
+    return BoostedTrees().fit(written(rows.select(*FEATURES, F.col("label").cast("double").alias("label")), "labelled")), rates
+
+
+def _score(model: BoostedTrees) -> Column:
+    return 1 / (1 + F.exp(-model.margin()))
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Judges every row of ``pages`` (page_id, url) by ``rules``, else by trees trained on ``labelled`` (url, label: 1 block).
 
@@ -194,21 +233,26 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: fl
     probability of block, given for every row).
 
     A null url, or one without ``://``, has an empty host and path, no rule,
-    and the trees' verdict on empty features.  Repeated rows are judged alike.
-    Without labelled URLs, or with one label alone, the verdict where no rule
-    fits follows that label's share: allow if there is none.  An empty table
-    gives no rows.
+    and the trees' verdict on empty features.  Repeated rows are judged alike;
+    labelled URLs that repeat count each time, with contradictory labels too.
+    URLs of any length are read whole.  Without labelled URLs, or with one
+    label alone, the verdict where no rule fits follows that label's share:
+    allow if there is none.  An empty table gives no rows; other columns are
+    ignored.
     """
-    rate = labelled.withColumn("suffix", F.element_at(F.split(host_of(F.col("url")), r"\."), -1))
-    rate = rate.groupBy("suffix").agg(((F.sum("label") + 1) / (F.count("*") + 20)).alias("suffix_rate"))
-    train = lexical(labelled).join(rate, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.05)))
-    model = BoostedTrees().fit(written(train.select(*FEATURES, F.col("label").cast("double").alias("label")), "labelled"))
+    model, rates = trained(labelled)
     rows = lexical(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")))
-    rows = rows.join(rate, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.05)))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    score = 1 / (1 + F.exp(-model.margin()))
     return (
-        model.binned(rows)
-        .withColumns({"rule": name, "score": score})
+        model.binned(_with_rates(rows, rates))
+        .withColumns({"rule": name, "score": _score(model)})
         .select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
     )
+
+
+def held_out_report(labelled: DataFrame, fold: int = 0, threshold: float = 0.5) -> DataFrame:
+    """How trees grown on the other hosts of ``labelled`` judge the URLs of the hosts of one fold: hosts, urls and blocked, by label."""
+    out = host_held_out(F.col("url"), fold)
+    model, rates = trained(labelled.where(~out))
+    judged = model.binned(_with_rates(lexical(labelled.where(out)), rates)).withColumn("score", _score(model))
+    return judged.groupBy("label").agg(F.countDistinct("host").alias("hosts"), F.count("*").alias("urls"), F.sum((F.col("score") >= threshold).cast("int")).alias("blocked"))
