@@ -64,6 +64,27 @@ def test_op1_equals_brute_force(docs):
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 200, 201)").count() == 1
 
 
+def test_op1_doc_id_with_several_texts(spark):
+    a, b, c = prose(1), prose(50), prose(90)
+    rows = [(1, a), (5, a), (5, b), (9, b), (5, b.upper()), (7, c), (-3, c + " end"), (11, c), (11, prose(120)), (20, prose(120)), (30, prose(140)), (30, prose(150)), (31, None), (31, prose(150))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (7, -3, False), (-3, -3, True), (11, -3, False), (20, -3, False), (30, 30, True), (31, 30, False), (31, 31, True)}
+    kept = minhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r.doc_id for r in kept}) == len(kept)
+
+
+def test_op1_halves_reach_the_recall():
+    assert [minhash.halves_for(p) for p in (85, 80)] == [6, 8]
+    for p in (30, 60, 80, 95, 100):
+        m, s = minhash.halves_for(p), p / 100
+        assert (1 - (1 - s * s) ** m) ** 2 >= 0.999
+
+
+def test_op1_hot_hub_is_split(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SPLIT", 5)
+    test_op1_star_of_variants(spark)
+
+
 def test_op1_star_of_variants(spark):
     base = prose(3, 200).split()
     rows = []
@@ -286,14 +307,14 @@ def test_op7_rules_and_trees(spark):
     rows = [(1, "https://a.example.com/en/71"), (2, "http://X.COM/en/8"), (3, "https://b.example.net/de/8"), (4, "http://spam-farm.example.org/fr/1"), (5, None), (6, "no scheme"), (7, "https://plain.example.net/fr/2?x=1#y"), (7, "https://plain.example.net/fr/2?x=1#y")]
     rows += [(100 + i, f"https://host{i % 7}.example.net/en/{i}") for i in range(60)] + [(200 + i, f"https://m.cheap-pills.example.org/en/{i}") for i in range(12)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string").selectExpr("*", "'x' as host", "'y' as suffix")
-    got = {r.page_id: r for r in urls.judge_urls(pages, urls.labelled_hosts(pages)).collect()}
+    got = {r.page_id: r for r in urls.judge_urls(pages, urls.seed_labels(pages)).collect()}
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (1, 2, 3)] == [
         ("a.example.com", "/en/71", "example.com/en/7", "allow"),
         ("x.com", "/en/8", "com/en/", "block"),
         ("b.example.net", "/de/8", "example.net/de/8", "block"),
     ]
     assert got[4].verdict == "block" and got[7].verdict == "allow" and (got[5].host, got[6].path, got[7].path) == ("", "", "/fr/2")
-    assert urls.judge_urls(pages.limit(0), urls.labelled_hosts(pages.limit(0))).count() == 0
+    assert urls.judge_urls(pages.limit(0), urls.seed_labels(pages.limit(0))).count() == 0
 
 
 def test_op8_batches_are_idempotent(spark, docs):

@@ -208,22 +208,27 @@ def mixed(
 
     target = targets()
     size = max(target.sum(), 1e-300)
+    largest = max(np.linalg.eigvalsh(square)[-1], 1e-300)
+    # scaled by the Gram matrix of the free documents a step is short of nothing but the bounds; where it gains too little,
+    # a plain gradient step, which always gains short of the least squares, goes before the next scaled one
     history: list = []
-    best, found = np.abs(now - target).sum(), []
-    while np.abs(now - target).sum() > tolerance * size and len(history) < steps:
-        history = [*history, np.linalg.pinv(square + 1e-9 * np.trace(square) * np.eye(k), hermitian=True) @ (now - target)]
-        now, square = totals(history)
-        target = targets()
-        if (left := np.abs(now - target).sum()) >= best * (1 - 1e-6) and len(history) - len(found) > 3:
-            break  # three steps without gain: the least squares are reached, or the targets are out of reach
-        if left < best:
-            best, found = left, history
-    if history != found:
-        history = found
-        now, _ = totals(history)
+    tried, scaled, left = 0, True, np.abs(now - target).sum()
+    while left > tolerance * size and tried < steps:
+        residual = now - target
+        step = np.linalg.pinv(square + 1e-9 * np.trace(square) * np.eye(k), hermitian=True) @ residual if scaled else residual / largest
+        before, tried = (now, square, target, left), tried + 1
+        now, square = totals([*history, step])
         target = targets()
+        left = np.abs(now - target).sum()
+        if left < before[-1] * (0.9 if scaled else 1 - 1e-4):
+            history, scaled = [*history, step], True
+        elif scaled:
+            (now, square, target, left), scaled = before, False
+        else:
+            now, square, target, left = before
+            break  # the least squares are reached; the targets are out of reach
     residual = float(np.abs(now - target).sum() / size) if target.sum() else 0.0
-    report = {"target": dict(zip(DOMAINS, target)), "reached": dict(zip(DOMAINS, now)), "residual": residual, "steps": len(history), "met": residual <= tolerance}
+    report = {"target": dict(zip(DOMAINS, target)), "reached": dict(zip(DOMAINS, now)), "residual": residual, "steps": tried, "met": residual <= tolerance}
     out = table.mapInArrow(_final(history, bound), "doc_id bigint, tokens bigint, posteriors array<double>, rate double")
     return out.select("doc_id", "tokens", *(F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate"), report
 
