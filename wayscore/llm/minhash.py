@@ -23,8 +23,9 @@ from wayscore.llm.common import SPACE, connected_components, fitted, small_batch
 RECALL = 0.999
 #: Bits of the table of shingle counts that orders prefixes (4 MB).  The order decides how much is compared, never what is found.
 SLOT_BITS = 20
-#: Pairs of one document to a task: one that has more is dealt to several.
-SPLIT = 4096
+#: Pairs of one document to a task: one that has more is dealt to several.  No more documents than MANY are, so the list of
+#: them can be broadcast; where pairs are many, a task gets more of one document's, but never more than a share of 1 / MANY of all.
+SPLIT, MANY = 256, 10_000
 SEED = 0x9E3779B97F4A7C15
 #: Most bits of the broadcast filter of ids, as a power of two (16 MB).
 FILTER_BITS = 27
@@ -165,12 +166,13 @@ def _shingle_sets(reps: DataFrame, classes: DataFrame, texts: DataFrame, size: i
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds ``linked`` to ``pairs`` (a, b), from their full shingle sets; a document in many pairs is dealt to several tasks."""
+    given, split = pairs, max(SPLIT, pairs.count() // MANY)
     for x, y in ("ab", "ba"):
-        many = pairs.groupBy(x).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+        many = given.groupBy(x).agg(F.ceil(F.count("*") / split).cast("int").alias("parts")).where("parts > 1")
         parts = F.coalesce("parts", F.lit(1))
-        held = sets.select(F.col("rep").alias(x), F.col("sh").alias(f"s{x}")).join(many, x, "left")
+        held = sets.select(F.col("rep").alias(x), F.col("sh").alias(f"s{x}")).join(F.broadcast(many), x, "left")
         held = held.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        dealt = pairs.join(many, x, "left").withColumn("part", F.pmod(F.xxhash64(y), parts).cast("int")).drop("parts")
+        dealt = pairs.join(F.broadcast(many), x, "left").withColumn("part", F.pmod(F.xxhash64(y), parts).cast("int")).drop("parts")
         pairs = dealt.join(held, [x, "part"]).drop("part")
     both = pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("bigint"))
     union = F.size("sa") + F.size("sb") - F.col("common")
