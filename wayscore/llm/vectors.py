@@ -23,11 +23,6 @@ from wayscore.llm.common import connected_components, small_batches, written
 SPARSE = 64
 
 
-def tables_for(hashes: int) -> tuple[int, int]:
-    """Tables and probes for a number of concatenated hashes, the last of them counted whole."""
-    return math.ceil(8 * 1.6 ** (hashes - 2)), max(3, 2 * hashes)
-
-
 def hashes_for(rows: int, width: int) -> tuple[int, int]:
     """How many hashes of 2 * ``width`` values are concatenated, and the values that the last of them is folded to."""
     hashes = 1
@@ -36,6 +31,12 @@ def hashes_for(rows: int, width: int) -> tuple[int, int]:
     return hashes, -(-SPARSE * max(rows, 2) // (2 * width) ** (hashes - 1))
 
 
+def tables_for(hashes: int, fold: int | None, width: int) -> tuple[int, int]:
+    """Tables and probes; a folded hash counts as the part of a whole one that it tells apart."""
+    whole = hashes - 1 + (math.log(fold, 2 * width) if fold else 1)
+    return math.ceil(8 * 1.6 ** (whole - 2)), max(3, round(2 * whole))
+
+
 def _rotations(width: int, count: int, seed: int):
     import numpy as np
 
@@ -170,8 +171,9 @@ def _buckets(total: int, hashes: int | None, seed: int):
         for batch in batches:
             rep, raw = np.asarray(batch.column(0)), batch.column(1).to_pylist()
             for at, x in _by_width(raw):
-                k, fold = (hashes, None) if hashes else hashes_for(total, _width(x.shape[1]))
-                codes = _codes(x, k, *tables_for(k), seed, fold).reshape(len(at), -1)
+                width = _width(x.shape[1])
+                k, fold = (hashes, None) if hashes else hashes_for(total, width)
+                codes = _codes(x, k, *tables_for(k, fold, width), seed, fold).reshape(len(at), -1)
                 pairs = np.unique(np.stack([codes.ravel(), np.repeat(rep[at], codes.shape[1])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["code", "rep"])
 
