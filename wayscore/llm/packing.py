@@ -100,7 +100,7 @@ def token_encoder(path: str):
             spelled = [p if p[0] == "\n" else " " + p for p in plain]
             encode, length = ranked
             ids = encode("".join(spelled))
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in spelled), dtype=np.int64, count=len(spelled)))
+            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(spelled, pa.large_string()))))
             last = np.searchsorted(np.cumsum(length[ids]), ends)
             sizes = np.diff(last, prepend=-1).tolist()
         for p in rest:
@@ -139,7 +139,7 @@ def token_encoder(path: str):
         bounds = np.asarray(lists.offsets)
         coded = lists.values.dictionary_encode()
         codes = np.asarray(coded.indices)
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(state["index"]) > 400_000:  # memory bound; forgotten pieces are encoded again
             fresh()
         index = state["index"]
