@@ -361,7 +361,10 @@ def learned_costs(pages: DataFrame, sample: int = SAMPLE) -> list[float]:
     import pickle
 
     labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    chosen = labelled.select("html", F.xxhash64("page_id", "url", F.length("html")).alias("order")).orderBy("order", F.xxhash64("html")).limit(sample)
+    labelled = labelled.select("html", F.xxhash64("page_id", "url", F.length("html"), F.substring("html", -200, 200)).alias("order"))
+    # the least hashes first, so that only chosen pages leave their tasks; copies count once
+    last = labelled.select("order").distinct().orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+    chosen = labelled.where(F.col("order") <= F.lit(last)).groupBy("order").agg(F.first("html").alias("html"))
 
     def run(table):
         import numpy as np
