@@ -81,7 +81,13 @@ def labelled_vectors(docs: DataFrame, labels: DataFrame, label: Column, classes:
     found = found.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = F.when(F.col("y").between(0, classes - 1), F.col("y")).otherwise(F.raise_error(F.lit(f"a label is outside 0 to {classes - 1}")).cast("int"))
     found = found.select("doc_id", known.alias("y"))
-    parts = [found.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in range(classes)]
+    counts = {r.y: r.n for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row for each class
+    parts = []
+    for y in range(classes):
+        # of many rows only some four times the sample leave their tasks; these hold the least hashes
+        share = min(1.0, (4 * per_class + 100) / max(1, counts.get(y, 0)))
+        few = found.where((F.col("y") == y) & (F.xxhash64("doc_id") <= F.lit(int((2 * share - 1) * (2**63 - 1)))))
+        parts.append(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = texts.join(F.broadcast(reduce(DataFrame.union, parts)), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
     return met.select("text", "doc_id", "y").mapInArrow(_vectors, "doc_id bigint, y int, x array<float>")
