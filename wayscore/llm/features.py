@@ -86,7 +86,7 @@ def labelled_vectors(docs: DataFrame, labels: DataFrame, label: Column, classes:
     for y in range(classes):
         # of many rows only some four times the sample leave their tasks; these hold the least hashes
         share = min(1.0, (4 * per_class + 100) / max(1, counts.get(y, 0)))
-        few = found.where((F.col("y") == y) & (F.xxhash64("doc_id") <= F.lit(int((2 * share - 1) * (2**63 - 1)))))
+        few = found.where((F.col("y") == y) & (F.xxhash64("doc_id") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))))
         parts.append(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = texts.join(F.broadcast(reduce(DataFrame.union, parts)), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
