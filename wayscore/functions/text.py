@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 #: Line breaks: \r\n counts once; then LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+# Fixed values of the log format: tags of code fences, headings of file sections, weakness numbers, addresses of commits.
 FENCE_TAGS = ("json", "python", "java")
+HEADING = r"(?d)===== (.*?) ====="
+WEAKNESS = r"(?i)cwe[\s\-_]*?(\d+)"
+COMMIT = r"^(https://github\.com/[^/]+/[^/]+)/commit/"
 
 
 def strip(c: Column) -> Column:
@@ -37,8 +41,8 @@ def case_id(*candidates: Column) -> Column:
 
 
 def needed_files(given: Column, prompt_input: Column) -> Column:
-    """The given list, or the names in ``===== name =====`` headings, in order and with repeats."""
-    named = F.transform(F.regexp_extract_all(F.coalesce(prompt_input, F.lit("")), F.lit(r"(?d)=====\s*(.+?)\s*====="), F.lit(1)), strip)
+    """The given list, or the names in ``===== name =====`` headings on one line, in order and with repeats."""
+    named = F.transform(F.regexp_extract_all(F.coalesce(prompt_input, F.lit("")), F.lit(HEADING), F.lit(1)), strip)
     return F.when(F.coalesce(F.size(given), F.lit(0)) > 0, given).otherwise(named)
 
 
@@ -73,7 +77,7 @@ def headed(name: Column, text: Column) -> Column:
 def cwe_numbers(c: Column) -> Column:
     """Distinct numbers of all ``CWE-<n>`` mentions in an array of texts, in order."""
     joined = F.concat_ws(" ", c)
-    return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(r"(?i)cwe[\s\-_]*?(\d+)"), F.lit(1)), lambda x: x.cast("int")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(WEAKNESS), F.lit(1)), lambda x: x.cast("int")))
 
 
 def prompt_name(c: Column) -> Column:
@@ -88,11 +92,18 @@ def log_name(parts: list[Column], at: Column) -> Column:
 
 
 def project_url(project: Column, commit_url: Column) -> Column:
-    """``owner/repo`` as a repository address; otherwise what stands before /commit/."""
-    own = F.regexp_extract(F.coalesce(commit_url, F.lit("")), r"^(https?://[^/]+/[^/]+/[^/]+)/commit", 1)
+    """``owner/repo`` as a repository address; otherwise the repository of a GitHub commit address, else null."""
+    own = F.regexp_extract(F.coalesce(commit_url, F.lit("")), COMMIT, 1)
     return F.when(project.contains("/"), F.concat(F.lit("https://github.com/"), project)).otherwise(F.nullif(own, F.lit("")))
 
 
+def line_list(raw: Column) -> Column:
+    """The lines of a raw JSON value: a list as it is, a number or text as a list of one; null and empty text as none."""
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(F.from_json(raw, "array<string>"), none)
+    return F.when(F.coalesce(raw, F.lit("")) == "", none).when(F.ltrim(raw).startswith("["), listed).otherwise(F.array(raw))
+
+
 def output_label(findings: Column, has_findings: Column, lines_map: Column) -> Column:
     """1 where any finding, or any file with lines, was reported."""
     listed = F.coalesce(F.size(findings), F.lit(0)) > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayscore.functions.text import headed
@@ -48,9 +48,21 @@ def prompt_inputs(combos: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def prompt_frame(inputs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every input with every template (prompt, template), the language put in; inputs have a language column."""
+    """Every input with every template (prompt, template), the language put in; inputs have a language column.
+
+    Templates come as one array, in order of their names, and are exploded beside each input.
+    """
+    names = templates.agg(F.sort_array(F.collect_list(F.struct("prompt", "template")))).scalar()
+    rows = inputs.withColumn("_t", F.explode(names)).select(*inputs.columns, "_t.prompt", "_t.template")
     whole = F.replace("template", F.lit(LANGUAGE_MARK), F.initcap(F.trim("language")))
-    return inputs.join(F.broadcast(templates.limit(1000)), how="cross").withColumn("prompt_text", whole).drop("template")
+    return rows.withColumn("prompt_text", whole).drop("template")
+
+
+def load_prompts(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
+    """(prompt, template) of the ``*.txt`` and ``*.md`` files of a folder, named by their stems; ``mode`` takes the one of that name."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(path)
+    rows = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.(txt|md)$", "").alias("prompt"), F.col("value").alias("template"))
+    return rows if mode is None else rows.where(F.lower("prompt") == mode.lower())
 
 
 def respond(prompts: DataFrame, responder: Callable[[str, str], str]) -> DataFrame:

@@ -33,6 +33,14 @@ def _arrays(nodes: DataFrame, keys: list[str], name: str) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.sort_array(F.collect_list(node)).alias(name))
 
 
+def path_arrays(real: DataFrame) -> DataFrame:
+    return _arrays(real, ["case_id", "path_ord"], "real")
+
+
+def finding_arrays(pred: DataFrame) -> DataFrame:
+    return _arrays(pred, ["run_id", "op_idx"], "pred")
+
+
 def contiguous_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFrame:
     """The earliest run of every (run, path, finding) with a match.
 
@@ -41,8 +49,26 @@ def contiguous_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFr
     longest: the run with the smallest (reference, predicted) start.
     """
     seeds = overlap_pairs(pred, real, runs, guard=False).groupBy("run_id", "case_id", "path_ord", "op_idx")
-    seeds = seeds.agg(F.min(F.struct("real_idx", "pred_idx")).alias("seed"))
-    both = seeds.join(_arrays(real, ["case_id", "path_ord"], "real"), ["case_id", "path_ord"]).join(_arrays(pred, ["run_id", "op_idx"], "pred"), ["run_id", "op_idx"])
+    return _walked(seeds.agg(F.min(F.struct("real_idx", "pred_idx")).alias("seed")), pred, real)
+
+
+def all_runs(pred: DataFrame, real: DataFrame, runs: DataFrame, min_len: int = 1) -> DataFrame:
+    """The runs from every matching pair of nodes that take at least ``min_len`` reference nodes, as ``contiguous_runs`` returns them."""
+    pairs = overlap_pairs(pred, real, runs, guard=False)
+    return _walked(pairs.select("run_id", "case_id", "path_ord", "op_idx", F.struct("real_idx", "pred_idx").alias("seed")), pred, real).where(F.col("lcs_len") >= min_len)
+
+
+def longest_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFrame:
+    """The longest run of every (run, path, finding) with a match; of equal ones the earliest."""
+    found = all_runs(pred, real, runs)
+    keys = ["run_id", "case_id", "path_ord", "op_idx"]
+    rest = [c for c in found.columns if c not in keys]
+    best = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("lcs_len", -F.col("real_start"), -F.col("out_start"))).alias("b"))
+    return best.select(*keys, "b.*")
+
+
+def _walked(seeds: DataFrame, pred: DataFrame, real: DataFrame) -> DataFrame:
+    both = seeds.join(path_arrays(real), ["case_id", "path_ord"]).join(finding_arrays(pred), ["run_id", "op_idx"])
     i, j = F.col("seed.real_idx"), F.col("seed.pred_idx")
     walked = both.withColumn("w", walk(F.col("real"), F.col("pred"), i, j))
     length = F.col("w.i") - i
@@ -62,18 +88,21 @@ def contiguous_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFr
     )
 
 
-def without_overlaps(runs_found: DataFrame) -> DataFrame:
-    """Greedy choice by length of runs whose reference and predicted ranges are unused, per (run, path, finding)."""
-    import pandas as pd
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        used_r, used_p, keep = set(), set(), []
-        for row in frame.sort_values(["lcs_len", "real_start", "out_start"], ascending=[False, True, True]).itertuples():
-            r, p = set(range(row.real_start, row.real_end + 1)), set(range(row.out_start, row.out_end + 1))
-            if not (r & used_r or p & used_p):
-                keep.append(row.Index)
-                used_r |= r
-                used_p |= p
-        return frame.loc[keep].sort_values(["real_start", "out_start"])
+def without_overlaps(found: DataFrame) -> DataFrame:
+    """Greedy choice by length of runs whose reference and predicted ranges are unused, per (run, path, finding).
 
-    return runs_found.groupBy("run_id", "path_ord", "op_idx").applyInPandas(choose, runs_found.schema)
+    Of equally long ones the first by predicted and then reference start is taken.
+    """
+    keys = ["run_id", "case_id", "path_ord", "op_idx"]
+    rest = [c for c in found.columns if c not in keys]
+    order = F.struct((-F.col("lcs_len")).alias("o1"), F.col("out_start").alias("o2"), F.col("real_start").alias("o3"), F.struct(*rest).alias("r"))
+    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("all"))
+    runs = F.transform("all", lambda x: x["r"])
+    apart = lambda x, y, a, b: (x[b] < y[a]) | (x[a] > y[b])
+
+    def choose(kept, x):
+        clash = F.exists(kept, lambda y: ~apart(x, y, "real_start", "real_end") | ~apart(x, y, "out_start", "out_end"))
+        return F.when(clash, kept).otherwise(F.array_append(kept, x))
+
+    chosen = F.aggregate(runs, F.slice(runs, 1, 1), choose)
+    return listed.select(*keys, F.explode(chosen).alias("r")).select(*keys, "r.*")

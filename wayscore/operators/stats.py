@@ -2,17 +2,18 @@
 
 Input frames have a score and numeric features.  Everything up to the test
 statistics is aggregation; values are first added up per distinct value, so
-rank sums need a window over distinct values alone.  Only the p-values, one
+ranks need windows over slices of the distinct values alone.  Only the p-values, one
 per (threshold, feature), are computed in Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayscore.functions.numeric import cliffs_label, cohens_label
 from wayscore.functions.special import SHAPIRO_MOST
+from wayscore.operators.ranks import below, exact_quantiles
 
 THRESHOLDS = (0.25, 0.5, 0.75, 1.0)
 
@@ -44,8 +45,7 @@ def moments(rows: DataFrame) -> DataFrame:
 def mann_whitney(rows: DataFrame) -> DataFrame:
     """U of the success side, the tie term, and Cliff's delta of (failure, success)."""
     each = rows.groupBy("threshold", "feature", "value").agg(F.count_if("success").alias("s"), F.count_if(~F.col("success")).alias("f"))
-    below = Window.partitionBy("threshold", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("below", F.coalesce(F.sum("f").over(below), F.lit(0)))
+    each = below(each, ["threshold", "feature"], "value", ["f"]).withColumnRenamed("below_f", "below")
     t = (F.col("s") + F.col("f")).cast("double")
     made = each.groupBy("threshold", "feature").agg(
         F.sum(F.col("s") * (F.col("below") + F.col("f") / 2.0)).alias("u"),
@@ -86,8 +86,7 @@ def _normality_large(rows: DataFrame) -> DataFrame:
 
     keys = ["threshold", "feature", "success"]
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("*")).alias("spread"))
-    below = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    each = rows.groupBy(*keys, "value").agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(below), F.lit(0)))
+    each = below(rows.groupBy(*keys, "value").agg(F.count("*").alias("c")), keys, "value", ["c"]).withColumnRenamed("below_c", "below")
     each = each.join(F.broadcast(whole), keys).withColumn("x", F.col("value") - F.col("mean")).select(*keys, "x", "c", "below", "n", "spread")
 
     def scores(frames):
@@ -169,8 +168,8 @@ def quantiles(frame: DataFrame, features: list[str], threshold: float, score: st
     """Box summary of each side of a threshold; a null score counts as zero."""
     filled = frame.withColumn(score, F.coalesce(score, F.lit(0.0)))
     rows = tall(filled, features, (threshold,), score)
-    q = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    made = rows.groupBy("feature", "success").agg(F.count("*").alias("n"), q.alias("q"))
+    each = rows.groupBy("feature", "success", "value").agg(F.count("*").alias("c"))
+    made = exact_quantiles(each, ["feature", "success"], "value", "c", (0.0, 0.25, 0.5, 0.75, 1.0))
     return made.select("feature", "success", "n", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "q1", "middle", "q3", "high"))))
 
 
@@ -182,8 +181,7 @@ def histogram(frame: DataFrame, feature: str, low: float, high: float, bins: int
 def auc(frame: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from mid-ranks, and Brier score, of a 0/1 label and a probability."""
     each = frame.groupBy(F.col(score).alias("v")).agg(F.count_if(F.col(label) == 1).alias("s"), F.count_if(F.col(label) == 0).alias("f"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("below", F.coalesce(F.sum("f").over(below), F.lit(0)))
+    each = below(each.where("v is not null"), [], "v", ["f"]).withColumnRenamed("below_f", "below")
     made = each.agg(
         F.try_divide(F.sum(F.col("s") * (F.col("below") + F.col("f") / 2.0)), (F.sum("s") * F.sum("f")).cast("double")).alias("auc"),
         F.try_divide(F.sum(F.col("s") * F.pow(F.col("v") - 1, F.lit(2)) + F.col("f") * F.col("v") * F.col("v")), F.sum(F.col("s") + F.col("f")).cast("double")).alias("brier"),

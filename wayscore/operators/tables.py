@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayscore.functions.numeric import matthews, number, ratio
+from wayscore.operators.ranks import exact_quantiles
 
 
 def _rate(hit: str, inside: Column) -> Column:
@@ -19,14 +20,21 @@ def overlapping() -> Column:
 def model_summary(frame: DataFrame, prompt: str = "llmpath") -> DataFrame:
     """Medians of both ratios and mean end hits (over rows with overlap) of each model, for one prompt."""
     some = overlapping()
-    made = frame.where(F.col("prompt") == prompt).groupBy("model").agg(
-        F.count("*").alias("runs"),
-        F.coalesce(F.median("nor"), F.lit(0.0)).alias("median_nor"),
-        F.coalesce(F.median("lcnr"), F.lit(0.0)).alias("median_lcnr"),
-        F.coalesce(F.avg("nor"), F.lit(0.0)).alias("mean_nor"),
-        F.coalesce(_rate("source_hit", some), F.lit(0.0)).alias("source_rate"),
-        F.coalesce(_rate("sink_hit", some), F.lit(0.0)).alias("sink_rate"),
+    hit = lambda c: F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in ("nor", "lcnr"))))
+    rows = frame.where(F.col("prompt") == prompt).select("model", both.alias("m"), hit("source_hit").alias("source"), hit("sink_hit").alias("sink"), some.alias("some"))
+    # one row per distinct value, from which counts, means and medians follow
+    each = rows.groupBy("model", "m.measure", "m.value").agg(F.count("*").alias("c"), F.count_if("some").alias("c_some"), F.sum("source").alias("source"), F.sum("sink").alias("sink"))
+    middle = exact_quantiles(each, ["model", "measure"], "value", "c", (0.5,)).groupBy("model")
+    middle = middle.agg(*(F.max(F.when(F.col("measure") == c, F.get("q", F.lit(0)))).alias(f"median_{c}") for c in ("nor", "lcnr")))
+    found = each.where("measure = 'nor'").groupBy("model").agg(
+        F.sum("c").alias("runs"),
+        F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum(F.when(F.col("value").isNotNull(), F.col("c")))).alias("mean_nor"),
+        F.try_divide(F.sum("source"), F.sum("c_some")).alias("source_rate"),
+        F.try_divide(F.sum("sink"), F.sum("c_some")).alias("sink_rate"),
     )
+    made = found.join(F.broadcast(middle), "model", "left")
+    made = made.select("model", "runs", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("median_nor", "median_lcnr", "mean_nor", "source_rate", "sink_rate")))
     return made.orderBy(F.desc("median_nor"), F.desc("median_lcnr"), F.desc("source_rate"), F.desc("sink_rate"), "model")
 
 

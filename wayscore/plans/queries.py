@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayscore.functions import numeric, text
 from wayscore.operators import best, catalog, model, nodes, prompts, stats, tables
@@ -337,10 +338,10 @@ def fenced_json(spark, sf):
     return a.table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.when(F.json_object_keys(body).isNotNull(), "ok").otherwise("bad").alias("state"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role IS NULL THEN NULL ELSE role || '|f.py' END AS files FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN role IS NULL THEN NULL ELSE role || '|f.py|a b' END AS files FROM conversations")
 def needed_files(spark, sf):
     c = a.table(spark, sf, "conversations")
-    shown = F.concat(F.lit("===== "), F.col("role"), F.lit(" =====\nbody\n===== f.py =====\n"))
+    shown = F.concat(F.lit("Title\n=====\nline\n=====\n===============\n===== "), F.col("role"), F.lit(" =====\nbody\n===== f.py =====\n=====  a b  =====x\n=====c =====\n"))
     return c.select("conv_id", "turn", F.when(F.col("role").isNotNull(), F.array_join(text.needed_files(F.lit(None).cast("array<string>"), shown), "|")).alias("files"))
 
 
@@ -390,19 +391,27 @@ def router_reasons(spark, sf):
     return d.select("doc_id", why.alias("reason"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'https://github.com/o/' || p_partkey ELSE 'https://x.org/o/' || p_partkey END AS url FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'https://github.com/o/' || p_partkey WHEN 1 THEN 'https://github.com/p/' || p_partkey END AS url FROM part")
 def project_urls(spark, sf):
-    key = F.col("p_partkey").cast("string")
-    project = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("o/"), key)).otherwise(key)
-    return a.table(spark, sf, "part").select("p_partkey", text.project_url(project, F.concat(F.lit("https://x.org/o/"), key, F.lit("/commit/1"))).alias("url"))
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    project = F.when(kind == 0, F.concat(F.lit("o/"), key)).otherwise(key)
+    commit = F.when(kind == 1, F.concat(F.lit("https://github.com/p/"), key, F.lit("/commit/1"))).when(kind == 2, F.concat(F.lit("https://x.org/p/"), key, F.lit("/commit/1")))
+    return a.table(spark, sf, "part").select("p_partkey", text.project_url(project, commit).alias("url"))
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS label FROM events")
+@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT % 4 < 3 THEN 1 ELSE 0 END::BIGINT AS label FROM events")
 def output_labels(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
-    some = F.when(k % 2 == 0, F.array(k)).otherwise(F.array().cast("array<int>"))
-    lines = F.create_map(F.lit("f"), some.cast("array<string>"))
-    return longs(a.table(spark, sf, "events").select("event_id", text.output_label(F.array(k), F.lit(False), lines).alias("label")))
+    # a list, a number and a text are lines; an empty list is none
+    shown = F.when(k % 4 == 0, F.concat(F.lit("["), k, F.lit(", null]"))).when(k % 4 == 1, k.cast("string")).when(k % 4 == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise("[]")
+    output = F.concat(F.lit('{"f.py": {"vulnerable_lines": '), shown, F.lit(', "explanation": "e"}}'))
+    return longs(logs.normalised(_as_logs(a.table(spark, sf, "events").select("event_id", output.alias("output")))).select("event_id", F.col("output_label").alias("label")))
+
+
+def _as_logs(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a log that they lack, as nulls."""
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in StructType.fromDDL(logs.LOG_SCHEMA).fields if f.name not in rows.columns}
+    return rows.withColumns(lacking)
 
 
 # -- catalogs and prompts ---------------------------------------------------

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayscore.functions.text import case_id, fenced, line_range, needed_files, or_default, output_label, strip
+from wayscore.functions.text import case_id, fenced, line_list, line_range, needed_files, or_default, output_label, strip
 
 LOG_SCHEMA = """task string, cve string, item_id string, group_key string, sample_id string, source_file string, metadata_file string, metadata string,
 file_combination array<string>, needed_files array<string>, prompt_name string, language string, model string, provider string, prompt string, input string,
 output string, reasoning_content string, actual_label int, usage struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint>, timestamp string, _corrupt string"""
 PATH_FORM = "struct<findings:array<struct<taint_path:array<struct<file:string,lines:string,snippet:string>>>>>"
-LINE_FORM = "map<string,struct<vulnerable_lines:array<string>,explanation:string>>"
+LINE_FORM = "map<string,struct<vulnerable_lines:string,explanation:string>>"
 REAL_FORM = "map<string,array<struct<line_number:int,file_name:string,code_snippet:string,endLine:int>>>"
 
 
@@ -38,7 +38,7 @@ def normalised(logs: DataFrame) -> DataFrame:
     keys = F.json_object_keys(body)
     path_form, line_form = F.from_json(body, PATH_FORM), F.from_json(body, LINE_FORM)
     has_findings = F.coalesce(F.array_contains(keys, "findings"), F.lit(False))
-    lines = F.when(~has_findings, F.transform_values(line_form, lambda _, v: F.coalesce(v["vulnerable_lines"], F.array().cast("array<string>"))))
+    lines = F.when(~has_findings, F.transform_values(line_form, lambda _, v: line_list(v["vulnerable_lines"])))
     return logs.withColumns(
         {
             "task": or_default(F.col("task"), "rq1"),
@@ -58,7 +58,8 @@ def normalised(logs: DataFrame) -> DataFrame:
 
 def find_case(keys: DataFrame, folders: DataFrame, key: str = "case_key") -> DataFrame:
     """Adds folder: the one folder of the language whose name starts with the key; null where there is none or more than one."""
-    found = keys.join(F.broadcast(folders.select(F.col("language").alias("_l"), "folder")), (F.col("_l") == F.col("language")) & F.col("folder").startswith(F.col(key)), "left")
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("folder")), lambda i: F.substring(F.col("folder"), F.lit(1), i)))
+    found = keys.join(folders.select("language", "folder", starts.alias(key)), ["language", key], "left")
     one = found.groupBy(*keys.columns).agg(F.count("folder").alias("_n"), F.min("folder").alias("folder"))
     return one.withColumn("folder", F.when(F.col("_n") == 1, F.col("folder"))).drop("_n")
 
@@ -166,6 +167,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_script(df: DataFrame, name: str, path: str) -> None:
-    """``window.<name> = <rows as JSON>;`` in one text file, for the viewer."""
-    body = df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias("j"))
-    body.select(F.concat(F.lit(f"window.{name} = "), F.coalesce("j", F.lit("[]")), F.lit(";")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """``window.<name> = [<rows as JSON, one a line>];`` in one text file, for the viewer; rows are streamed, not gathered."""
+    row = F.to_json(F.struct(*df.columns))
+    body = df.select(F.lit(1).alias("part"), row.alias("key"), F.concat(row, F.lit(",")).alias("value"))
+    ends = df.sparkSession.createDataFrame([(0, "", f"window.{name} = ["), (2, "", "];")], "part int, key string, value string")
+    body.unionByName(ends).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
