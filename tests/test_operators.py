@@ -135,7 +135,7 @@ def test_files_of_cases_and_samples(spark, tmp_path):
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_text(body if isinstance(body, str) else json.dumps(body))
 
-    put("cases/Java/CVE-1_x/combos.json", {"files": [["a", "b"], []]})
+    put("cases/Java/CVE-1_x/combos.json", json.dumps({"files": [["a", "b"], []]}, indent=1))
     put("cases/Python/CVE-2/combos.json", "broken")
     put("samples/Java/s1/s1.json", {"actual_label": 1})
     put("samples/Java/s1/a.json", {})

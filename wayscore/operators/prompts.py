@@ -60,7 +60,7 @@ def prompt_frame(inputs: DataFrame, templates: DataFrame) -> DataFrame:
 
 def load_prompts(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
     """(prompt, template) of the ``*.txt`` and ``*.md`` files of a folder, named by their stems; ``mode`` takes the one of that name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     rows = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.(txt|md)$", "").alias("prompt"), F.col("value").alias("template"))
     return rows if mode is None else rows.where(F.lower("prompt") == mode.lower())
 

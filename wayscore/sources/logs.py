@@ -105,7 +105,7 @@ def pred_lines(runs: DataFrame) -> DataFrame:
 
 def read_json_files(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(path, folder, language, content) of every file called ``name`` below ``path``/<language>/<folder>/."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     rows = rows.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"), parts.alias("_p"))
     root = path.rstrip("/").rsplit("/", 1)[-1]
