@@ -337,7 +337,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     return dealt.mapInArrow(_packed(window, levels), out)
 
 
-def digested(pieces: DataFrame) -> DataFrame:
-    """The pieces with length and checksum in place of their ids."""
+def digested(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The pieces with the length and checksum of their ids, and the ids themselves where ``keep_ids``."""
     length = (F.octet_length("ids") / 4).cast("bigint").alias("length")
-    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "placed")
+    columns = ["doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "placed"]
+    return pieces.select(*columns, *(["ids"] if keep_ids else []))
