@@ -168,7 +168,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds ``linked`` to ``pairs`` (a, b), from their full shingle sets; a document in many pairs is dealt to several tasks."""
     given, split = pairs, max(SPLIT, pairs.count() // MANY)
     for x, y in ("ab", "ba"):
-        many = given.groupBy(x).agg(F.ceil(F.count("*") / split).cast("int").alias("parts")).where("parts > 1")
+        # a row for at most MANY documents; where there is none the joins with it vanish from the plan
+        parts = F.ceil(F.count("*") / split).cast("int").alias("parts")
+        many = given.sparkSession.createDataFrame(given.groupBy(x).agg(parts).where("parts > 1").collect(), f"{x} bigint, parts int")
         parts = F.coalesce("parts", F.lit(1))
         held = sets.select(F.col("rep").alias(x), F.col("sh").alias(f"s{x}")).join(F.broadcast(many), x, "left")
         held = held.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
@@ -281,10 +283,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # a class goes by its smallest doc_id; one whose smallest doc_id has several texts, by a number that its digest makes
     several = usable.groupBy("doc_id").agg(F.min(F.struct(*one)).alias("x"), F.max(F.struct(*one)).alias("y")).where("x <> y").select("doc_id")
     several = written(several, "several")
-    least = usable.groupBy(*one).agg(F.min("doc_id").alias("doc_id"))
-    shared_id = least.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
-    rep = F.when(F.col("_several"), F.xxhash64(*one, F.lit("class"))).otherwise(F.col("doc_id"))
-    classes = written(shared_id.select(*one, "doc_id", rep.alias("rep")), "classes")
+    unique = several.isEmpty()  # then every class goes by its smallest doc_id, and the steps for others fall away
+    classes = usable.groupBy(*one).agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.col("doc_id"))
+    if not unique:
+        classes = classes.join(several.withColumn("_several", F.lit(True)), "doc_id", "left")
+        classes = classes.withColumn("rep", F.when(F.col("_several"), F.xxhash64(*one, F.lit("class"))).otherwise(F.col("doc_id")))
+    classes = written(classes.select(*one, "doc_id", "rep"), "classes")
     # one row per class: the row of its smallest doc_id, halves and all
     reps = (
         usable.join(classes, [*one, "doc_id"])
@@ -308,10 +312,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     spokes = written(spokes, "spokes")
     ids = spokes.select(F.col("a").alias("rep")).union(spokes.select("b"))
     stars = _verified(spokes, _shingle_sets(ids, classes, texts, shingle_words), percent).where("linked").select("a", "b")
-    # texts under one doc_id belong together
-    held = usable.join(several, "doc_id").select("doc_id", *one).distinct().join(classes.drop("doc_id"), one)
-    first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    stars = stars.union(held.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
+    if not unique:  # texts under one doc_id belong together
+        held = usable.join(several, "doc_id").select("doc_id", *one).distinct().join(classes.drop("doc_id"), one)
+        first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        stars = stars.union(held.join(first, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")))
     labels = written(connected_components(stars), "labels")
 
     # classes that still meet a class of another component
@@ -323,7 +327,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         more = _verified(written(_prefix_pairs(sets, open_, percent), "rest"), sets, percent).where("linked")
         labels = connected_components(stars.union(more.select("a", "b")))
     component = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*one, "doc_id", "rep", F.coalesce("component", "rep").alias("component_id"))
-    if not several.isEmpty():
+    if not unique:
         # a component with a class that doesn't go by a doc_id takes its smallest doc_id
         component = written(component, "components")
         numbered = component.where("rep <> doc_id").select("component_id").distinct()
