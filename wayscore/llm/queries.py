@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayscore.llm import html, minhash, mixing, outliers, packing, quality, rollup, scoring, urls, vectors
+from wayscore.llm import html, minhash, mixing, outliers, packing, quality, repair, rollup, scoring, secret_spans, trie, urls, vectors
 from wayscore.llm.common import written
 
 
@@ -70,7 +70,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-OPS = {f.__name__: f for f in (op1_minhash_dedup, op2_mixing, op3_embedding_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_url_filter, op8_token_counts, op9_html_text, op10_quality_classifier)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults are put in by the hash of conversation and turn, then repaired."""
+    turns = repair.damaged(_table(spark, sf_dir, "conversations"))
+    return repair.repair_report(turns, F.col("gone"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.digested(secret_spans.secret_spans(_table(spark, sf_dir, "documents")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with turns of the first one in twenty."""
+    return trie.prefix_trie(*trie.regrafted(written(trie.numbered(_table(spark, sf_dir, "conversations")), "numbered")))
+
+
+OPS = {
+    f.__name__: f
+    for f in (op1_minhash_dedup, op2_mixing, op3_embedding_dedup, op4_packing, op5_lm_scoring, op6_quality_rules, op7_url_filter, op8_token_counts, op9_html_text, op10_quality_classifier, op11_conversation_repair, op12_secret_scan, op13_prefix_trie)
+}
 
 
 def queries() -> dict:
