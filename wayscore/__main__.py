@@ -1,4 +1,4 @@
-"""Command lines: ``python -m wayscore analyse | prompts | catalog``."""
+"""Command lines: ``python -m wayscore analyse | prompts | catalog | manual``."""
 
 from __future__ import annotations
 
@@ -30,10 +30,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--cases", required=True)
     c.add_argument("--name", default="catalog")
     c.add_argument("--out", required=True)
+    d = verbs.add_parser("manual", help="scripts of the manual analyses for the viewer")
+    d.add_argument("--input", required=True, help="a JSON file, or a folder of them")
+    d.add_argument("--strict", action="store_true", help="a file of another shape is an error")
+    d.add_argument("--out", required=True)
     return top
 
 
 def main(words: list[str] | None = None) -> None:
+    from wayscore.operators import manual
     from wayscore.operators.prompts import RunConfig, load_prompts
     from wayscore.plans import analysis
     from wayscore.sources import logs
@@ -46,6 +51,10 @@ def main(words: list[str] | None = None) -> None:
     elif told.verb == "prompts":
         config = RunConfig(case=told.case, all_cases=told.case is None)
         logs.write_json(analysis.case_prompts(spark, config, told.cases, load_prompts(spark, told.templates, told.mode)), told.out)
+    elif told.verb == "manual":
+        entries = manual.merged(manual.manual_entries(manual.read_manual(spark, told.input), told.strict))
+        logs.write_object_script(entries, "MANUAL_ANALYSIS_DATA", f"{told.out}/manual_analysis_dataset")
+        logs.write_object_script(manual.index(entries), "MANUAL_ANALYSIS_INDEX", f"{told.out}/manual_analysis_index")
     else:
         logs.write_script(analysis.viewer(spark, told.cases), told.name, told.out)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wayscore.functions import numeric, text
-from wayscore.operators import best, catalog, model, nodes, prompts, stats, tables
+from wayscore.operators import best, catalog, manual, model, nodes, prompts, stats, tables
 from wayscore.operators import runs as walks
 from wayscore.plans import adapters as a
 from wayscore.sources import logs
@@ -441,6 +441,29 @@ def last_writer_merge(spark, sf):
     return catalog.last_writer(a.table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
+@query(
+    """WITH o AS (SELECT o_custkey AS c, 'K' || (o_orderkey % 50) AS k, max(o_orderkey) AS n FROM orders GROUP BY ALL),
+    found AS (SELECT c, k AS key, CASE WHEN n % 2 = 0 THEN k ELSE 'own' END AS cve, n FROM o WHERE c % 6 = 0
+        UNION ALL SELECT c, (c % 50)::VARCHAR, '', c FROM o WHERE c % 6 = 1
+        UNION ALL SELECT c, lpad(c::VARCHAR, 9, '0'), lpad(c::VARCHAR, 9, '0'), c FROM o WHERE c % 6 = 2)
+    SELECT key, cve, n::BIGINT AS n, c::BIGINT AS file FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY (c % 3 = 2) DESC, c DESC) AS r FROM (SELECT DISTINCT * FROM found)) WHERE r = 1"""
+)
+def manual_merge(spark, sf):
+    """Files of one customer each: an object of entries, a single entry under a number, one under its file's name, and three shapes that don't count."""
+    c = F.col("o_custkey")
+    each = a.table(spark, sf, "orders").groupBy("o_custkey", F.concat(F.lit("K"), (F.col("o_orderkey") % 50).cast("string")).alias("k")).agg(F.max("o_orderkey").alias("n"))
+    entry = F.struct(F.when(F.col("n") % 2 == 1, "own").alias("cve"), F.array(F.lit(1)).alias("real_path"), F.col("n").alias("n"))
+    files = each.groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", entry)))).alias("many"))
+    number = c.cast("string")
+    single = F.concat(F.lit('"output_path": null, "n": '), number, F.lit("}"))
+    shapes = [F.col("many"), F.concat(F.lit('{"cve": "", "cve_id": '), (c % 50).cast("string"), F.lit(", "), single), F.concat(F.lit("{"), single), F.concat(F.lit('{"x": {"real_path": 1}, "y": '), number, F.lit("}")), F.concat(F.lit('[{"real_path": '), number, F.lit("}]")), F.lit("{")]
+    content = F.coalesce(*(F.when(c % 6 == i, s) for i, s in enumerate(shapes)))
+    folder = F.when(c % 3 == 2, "m/z/").otherwise("m/a-b/")
+    files = files.select(F.concat(folder, F.lpad(number, 9, "0"), F.lit(".json")).alias("path"), content.alias("content"))
+    made = manual.merged(manual.manual_entries(files))
+    return made.select("key", "cve", F.get_json_object("entry", "$.n").cast("bigint").alias("n"), F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("file"))
+
+
 @query(
     """SELECT source AS case_id, p.prompt, replace(p.template, '$_LANGUAGE', 'Python') AS prompt_text, length(string_agg('===== ' || doc_id || ' =====' || chr(10) ||
     array_to_string(list_transform(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)), lambda x, i: 'L' || i || ': ' || x), chr(10)), chr(10) || chr(10) ORDER BY doc_id)) AS n

@@ -157,8 +157,8 @@ def sample_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; presentation tables are small."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV parts, each with a header; small tables come as one part, large ones are written by many tasks."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -166,9 +166,20 @@ def write_json(df: DataFrame, path: str) -> None:
     stamped.write.mode("overwrite").json(path)
 
 
+def _write_lines(body: DataFrame, opening: str, closing: str, path: str) -> None:
+    """Rows (key, value) in order of key as text parts, between an opening and a closing line; the parts in order of their names are the text."""
+    ends = body.sparkSession.createDataFrame([(0, "", opening), (2, "", closing)], "part int, key string, value string")
+    lines = body.select(F.lit(1).alias("part"), "key", "value").unionByName(ends)
+    lines.orderBy("part", "key").select("value").write.mode("overwrite").text(path)
+
+
 def write_script(df: DataFrame, name: str, path: str) -> None:
-    """``window.<name> = [<rows as JSON, one a line>];`` in one text file, for the viewer; rows are streamed, not gathered."""
+    """``window.<name> = [<rows as JSON, one a line>];`` for the viewer, in ordered parts."""
     row = F.to_json(F.struct(*df.columns))
-    body = df.select(F.lit(1).alias("part"), row.alias("key"), F.concat(row, F.lit(",")).alias("value"))
-    ends = df.sparkSession.createDataFrame([(0, "", f"window.{name} = ["), (2, "", "];")], "part int, key string, value string")
-    body.unionByName(ends).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(path)
+    _write_lines(df.select(row.alias("key"), F.concat(row, F.lit(",")).alias("value")), f"window.{name} = [", "];", path)
+
+
+def write_object_script(df: DataFrame, name: str, path: str) -> None:
+    """``window.<name> = {<key: entry, one a line>};`` of rows (key, entry), entries being JSON, in ordered parts."""
+    quoted = F.regexp_extract(F.to_json(F.array("key")), r"(?s)^\[(.*)\]$", 1)
+    _write_lines(df.select("key", F.concat(quoted, F.lit(": "), "entry", F.lit(",")).alias("value")), f"window.{name} = {{", "};", path)
