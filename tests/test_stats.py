@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from wayscore.functions import special
 from wayscore.operators import model, stats
 
@@ -41,13 +44,76 @@ def test_tail_probabilities():
 def test_predictive_power(spark):
     got = {r.threshold: r for r in model.predictive_power(frame(spark), ["a", "b"], (0.0, 0.5)).collect()}
     assert got[0.0].auc is None and 0 <= got[0.5].auc <= 1 and abs(got[0.5].coef_b) < 1e-6
+    assert all(r.n == 0 and r.auc is None for r in model.predictive_power(frame(spark).limit(0), ["a"]).collect())
+
+
+def test_coefficients_are_optimal_and_steps_are_halved(spark):
+    """The gradient of the penalised loss is nil, also where classes are all but separated and plain steps overshoot."""
+    rng = random.Random(8)
+    rows = [(rng.random(), rng.gauss(0, 1), 10.0 ** rng.uniform(-3, 6)) for _ in range(400)]
+    rows += [(0.1 if (a := rng.uniform(-1, 1)) > 0.9 else 0.99, a * 1e4, a) for _ in range(300)]
+    f = spark.createDataFrame(rows, "score double, a double, b double")
+    for r in model.predictive_power(f, ["a", "b"], (0.25, 0.5, 0.75, 0.97)).collect():
+        x = np.array([q[1:] for q in rows])
+        x = (x - x.mean(axis=0)) / x.std(axis=0)
+        y = np.array([q[0] < r.threshold for q in rows], dtype=float)
+        w = np.array([r.coef_a, r.coef_b])
+        low, high = -50.0, 50.0
+        for _ in range(200):  # the intercept is where the residuals add up to nil
+            b = (low + high) / 2
+            low, high = (b, high) if (1 / (1 + np.exp(-(x @ w + b))) - y).sum() < 0 else (low, b)
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        assert np.abs(x.T @ (p - y) + w).max() < 1e-6
+        pairs = [(p[i] > p[j]) + (p[i] == p[j]) / 2 for i in np.flatnonzero(y == 1)[:60] for j in np.flatnonzero(y == 0)]
+        assert math.isclose(r.brier, ((p - y) ** 2).mean(), rel_tol=1e-9) and (len(pairs) == 0 or 0 <= r.auc <= 1)
+
 
+def test_score_sums_in_closed_form(spark):
+    rng = random.Random(1)
+    rows = [(n, 0, n) for n in (12, 130, 256, 257, 1000, 60_000)]
+    for n in (12, 70, 128, 129, 193, 1000, 60_000):
+        for _ in range(25):
+            b = rng.randrange(n)
+            rows.append((n, b, min(n - b, rng.choice([1, 2, 64, 65, 200, n]))))
+    df = spark.createDataFrame(rows, "n bigint, b bigint, c bigint")
+    got = df.select("*", special.score_sums(F.col("b"), F.col("c"), F.col("n")).alias("s"), special.square_sum(F.col("n")).alias("q")).collect()
+    for r in got:
+        m = [special.normal_quantile((i - 0.375) / (r.n + 0.25)) for i in range(r.b + 1, r.b + r.c + 1)]
+        assert abs(r.s - math.fsum(m)) <= 1e-11 * max(1, math.fsum(map(abs, m)))
+        if r.c == r.n:
+            assert math.isclose(r.q, math.fsum(v * v for v in m), rel_tol=1e-11)
+    # half of 10^8 equal values are one row; their scores add up to minus the density in the middle
+    half = spark.range(1).select(special.score_sums(F.lit(0), F.lit(5 * 10**7), F.lit(10**8)).alias("s")).first().s
+    assert math.isclose(half, -(10**8 + 0.25) / math.sqrt(2 * math.pi), rel_tol=1e-7)
 
-def test_normality_of_large_sides(spark):
+
+def test_normality_at_all_sizes(spark):
+    """One way for 12 values and for 6000, equal to the list of values wherever its formula holds."""
     rng = random.Random(4)
-    f = spark.createDataFrame([(1.0, rng.gauss(5, 2), float(rng.randint(0, 3))) for _ in range(6000)], "score double, a double, b double")
-    got = {r.feature: r for r in stats.normality(stats.tall(f, ["a", "b"], (0.5,))).collect()}
-    assert all(r.approximate for r in got.values()) and got["a"].p > 0.001 and got["b"].p < 1e-6
-    # the sums give what the list of values gives where both hold
-    small = stats.tall(f.limit(900), ["a"], (0.5,)).localCheckpoint()
-    assert math.isclose(stats._normality_large(small).first().p, special.shapiro_p([r.value for r in small.collect()]), rel_tol=1e-6)
+    sizes = (1, 2, 3, 5, 11, 12, 40, 300, 4999, 6000)
+    draw = {"gauss": lambda: rng.gauss(5, 2), "ties": lambda: float(rng.randint(0, 3)), "same": lambda: 7.0}
+    values = {(float(n), k): [f() for _ in range(n)] for n in sizes for k, f in draw.items()}
+    rows = spark.createDataFrame([(t, k, x, True) for (t, k), v in values.items() for x in v], "threshold double, feature string, value double, success boolean")
+    got = {(r.threshold, r.feature): r for r in stats.normality(rows).collect()}
+    assert set(got) == set(values)
+    for key, v in values.items():
+        assert got[key].approximate == (len(v) > 5000) and got[key].n == len(v)
+        if len(v) <= 5000:
+            assert math.isclose(got[key].p, special.shapiro_p(v), rel_tol=1e-6, abs_tol=1e-12), key
+    assert got[6000.0, "gauss"].p > 0.001 and got[6000.0, "ties"].p < 1e-6 and got[6000.0, "same"].p == 1.0
+
+
+def test_density_against_the_kernel_sum(spark):
+    rng = random.Random(2)
+    rows = [(0.9, rng.gauss(0, 1), 1.0) for _ in range(300)] + [(None, float(rng.randint(0, 9)), None) for _ in range(50)] + [(0.8, 40.0, 1.0)]
+    f = spark.createDataFrame(rows, "score double, a double, b double")
+    got = stats.density(f, ["a", "b"], 0.5, points=50).collect()
+    for success, inside in ((True, lambda s: (s or 0) >= 0.5), (False, lambda s: (s or 0) < 0.5)):
+        v = np.array([q[1] for q in rows if inside(q[0])])
+        h = len(v) ** -0.2 * v.std(ddof=1)
+        curve = sorted((r.point, r["at"], r.density) for r in got if r.feature == "a" and r.success == success)
+        assert [p for p, _, _ in curve] == list(range(50)) and math.isclose(curve[0][1], v.min()) and math.isclose(curve[-1][1], v.max())
+        true = [np.exp(-(((x - v) / h) ** 2) / 2).sum() / (len(v) * h * math.sqrt(2 * math.pi)) for _, x, _ in curve]
+        assert np.abs(np.array(true) - [d for _, _, d in curve]).max() < 1e-3 * max(true)
+    assert [(r.point, r["at"], r.density) for r in got if r.feature == "b"] == [(0, 1.0, 1.0)]
+    assert stats.density(f.limit(0), ["a"], 0.5).count() == 0

@@ -109,3 +109,46 @@ ranked AS (SELECT threshold, feature, success, value, rank() OVER w + (count(*)
 mw AS (SELECT threshold, feature, sum(mid) FILTER (success) - count(*) FILTER (success) * (count(*) FILTER (success) + 1) / 2.0 AS u, count(*) FILTER (success) AS n_s, count(*) FILTER (NOT success) AS n_f
     FROM ranked GROUP BY 1, 2)
 """
+
+
+def normal_score_sql(rank: str, n: str) -> str:
+    """The normal quantile of (rank - 0.375) / (n + 0.25) in SQL."""
+    from wayscore.functions.special import CENTRE, FAR, NEAR
+
+    def over(parts, x):
+        made = []
+        for cs in parts:
+            total = f"{cs[-1]!r}::DOUBLE"
+            for c in reversed(cs[:-1]):
+                total = f"({total} * ({x}) + {c!r}::DOUBLE)"
+            made.append(total)
+        return f"({made[0]} / {made[1]})"
+
+    q, r = f"(({rank} - 0.375) / ({n} + 0.25) - 0.5)", f"sqrt(-ln(least(({rank} - 0.375) / ({n} + 0.25), 1 - ({rank} - 0.375) / ({n} + 0.25))))"
+    tail = f"CASE WHEN {r} <= 5 THEN {over(NEAR, r + ' - 1.6')} ELSE {over(FAR, r + ' - 5')} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {over(CENTRE, f'0.180625 - {q} * {q}')} ELSE sign({q}) * {tail} END"
+
+
+def newton_sql(steps: int = 12) -> str:
+    """Newton steps of logistic models of ``score < t`` with three scaled features x1 to x3 and penalty one, from zero; the last table is w<steps> (t, w0 to w3)."""
+    h = [(i, j) for i in range(4) for j in range(i, 4)]
+    x = ["1", "x1", "x2", "x3"]
+    made = [
+        "feat AS (SELECT score, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(("n_chars", "n_blanks", "n_breaks"), 1)) + " FROM scored)",
+        "cases AS (SELECT t, (score < t)::INT AS y, x1, x2, x3 FROM feat, (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS t))",
+        "w0 AS (SELECT t, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3 FROM cases GROUP BY t HAVING min(y) < max(y))",
+    ]
+    for k in range(1, steps + 1):
+        sums = [f"sum((p - y) * {x[i]}) + {'any_value(w%d)' % i if i else '0'} AS g{i}" for i in range(4)] + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {1 if i == j and i else 0} AS h{i}{j}" for i, j in h]
+        made.append(
+            f"s{k} AS (SELECT t, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, {', '.join(sums)} "
+            f"FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2 + w3 * x3))) AS p FROM cases JOIN w{k - 1} USING (t)) GROUP BY t)"
+        )
+        # elimination column by column, then back
+        made.append(
+            f"e{k} AS (SELECT *, h11 - h01 * h01 / h00 AS a11, h12 - h01 * h02 / h00 AS a12, h13 - h01 * h03 / h00 AS a13, h22 - h02 * h02 / h00 AS a22, h23 - h02 * h03 / h00 AS a23, h33 - h03 * h03 / h00 AS a33, "
+            "g1 - h01 * g0 / h00 AS b1, g2 - h02 * g0 / h00 AS b2, g3 - h03 * g0 / h00 AS b3, a22 - a12 * a12 / a11 AS c22, a23 - a12 * a13 / a11 AS c23, a33 - a13 * a13 / a11 AS c33, b2 - a12 * b1 / a11 AS d2, b3 - a13 * b1 / a11 AS d3, "
+            f"(d3 - c23 * d2 / c22) / (c33 - c23 * c23 / c22) AS v3, (d2 - c23 * v3) / c22 AS v2, (b1 - a12 * v2 - a13 * v3) / a11 AS v1, (g0 - h01 * v1 - h02 * v2 - h03 * v3) / h00 AS v0 FROM s{k})"
+        )
+        made.append(f"w{k} AS (SELECT t, w0 - v0 AS w0, w1 - v1 AS w1, w2 - v2 AS w2, w3 - v3 AS w3 FROM e{k})")
+    return ", ".join(made)

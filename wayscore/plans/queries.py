@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -293,9 +293,51 @@ def auc_brier(spark, sf):
     return rounded(stats.auc(a.scored_documents(spark, sf), "quality", "score"), "auc", "brier")
 
 
-@query()
+@query(
+    _with(a.DOC_SQL, a.newton_sql())
+    + """, judged AS (SELECT t, y, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2 + w3 * x3))) AS p FROM cases JOIN w12 USING (t)),
+    r AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY p) + (count(*) OVER (PARTITION BY t, p) - 1) / 2.0 AS mid FROM judged),
+    told AS (SELECT t, (sum(mid) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc, avg((p - y) * (p - y)) AS brier FROM r GROUP BY 1)
+    SELECT threshold, (SELECT count(*) FROM scored) AS n, round(auc::DOUBLE, 6) AS auc, round(brier, 6) AS brier, round(w1, 6) AS coef_n_chars, round(w2, 6) AS coef_n_blanks, round(w3, 6) AS coef_n_breaks
+    FROM (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS threshold) LEFT JOIN w12 ON w12.t = threshold LEFT JOIN told ON told.t = threshold"""
+)
 def logistic_table(spark, sf):
-    return model.predictive_power(a.scored_documents(spark, sf), FEATURES)
+    return rounded(model.predictive_power(a.scored_documents(spark, sf), FEATURES), "auc", "brier", *(f"coef_{f}" for f in FEATURES))
+
+
+@query(
+    _with(a.DOC_SQL)
+    + f""", placed AS (SELECT threshold, feature, success, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY threshold, feature, success) AS n, avg(value) OVER (PARTITION BY threshold, feature, success) AS mean
+        FROM tall WINDOW w AS (PARTITION BY threshold, feature, success ORDER BY value)),
+    m AS (SELECT *, value - mean AS x, {a.normal_score_sql("i", "n")} AS m FROM placed WHERE n > 11),
+    sums AS (SELECT threshold, feature, success, n, sum(m * m) AS square, sum(m * x) AS dot, sum(x * x) AS spread, max(x) FILTER (i = 1) AS x1, max(x) FILTER (i = 2) AS x2, max(x) FILTER (i = n - 1) AS y2, max(x) FILTER (i = n) AS y1,
+        max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(n) AS u, ln(n) AS ln FROM m GROUP BY ALL HAVING min(x) < max(x)),
+    ends AS (SELECT *, m1 / sqrt(square) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 AS a1,
+        m2 / sqrt(square) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 AS a2 FROM sums),
+    ws AS (SELECT *, (square - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi, (dot - m1 * (y1 - x1) - m2 * (y2 - x2)) / sqrt(phi) + a1 * (y1 - x1) + a2 * (y2 - x2) AS total, total * total / spread AS w FROM ends)
+    SELECT threshold, feature, success, n, round(w, 6) AS w, round((ln(1 - w) - (-1.5861 - 0.31082 * ln - 0.083751 * ln ** 2 + 0.0038915 * ln ** 3)) / exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln ** 2), 4) AS z FROM ws"""
+)
+def shapiro_wilk(spark, sf):
+    return stats.shapiro(_tall(spark, sf)).withColumns({"w": F.round("w", 6), "z": F.round("z", 4)})
+
+
+@query(
+    _with(a.DOC_SQL)
+    + """, one AS (SELECT feature, success, value FROM tall WHERE threshold = 0.5),
+    shape AS (SELECT feature, success, count(*) AS n, min(value) AS low, max(value) AS high, count(*)::DOUBLE ** -0.2 * stddev_samp(value) AS h FROM one GROUP BY 1, 2 HAVING min(value) < max(value)),
+    placed AS (SELECT feature, success, (value - low) / (h / 32) AS place FROM one JOIN shape USING (feature, success)),
+    cells AS (SELECT feature, success, floor(place) AS b, 1 - (place - floor(place)) AS w FROM placed UNION ALL SELECT feature, success, floor(place) + 1, place - floor(place) FROM placed),
+    summed AS (SELECT feature, success, b, sum(w) AS w FROM cells GROUP BY ALL),
+    grid AS (SELECT *, (high - low) / 99 AS step FROM shape, (SELECT unnest(range(100)) AS point))
+    SELECT feature, success, point::BIGINT AS point, round(low + point * step, 6) AS "at", round(sum(w * exp(-0.5 * ((point * step - b * (h / 32)) / h) ** 2)) / (n * h * sqrt(2 * pi())) * (high - low), 6) AS density
+    FROM grid JOIN summed USING (feature, success) GROUP BY feature, success, point, low, high, step, n, h"""
+)
+def feature_density(spark, sf):
+    """Densities by the range of the values, so that they compare between features."""
+    d = stats.density(a.scored_documents(spark, sf), FEATURES, 0.5)
+    span = Window.partitionBy("feature", "success")
+    by_range = F.col("density") * (F.max("at").over(span) - F.min("at").over(span))
+    return d.select("feature", "success", "point", F.round("at", 6).alias("at"), F.round(by_range, 6).alias("density"))
 
 
 @query()
