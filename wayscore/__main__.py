@@ -1,8 +1,9 @@
-"""Command lines: ``python -m wayscore analyse | prompts | catalog | manual``."""
+"""Command lines: ``python -m wayscore analyse | prompts | catalog | run | manual``."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--cases", required=True)
     c.add_argument("--name", default="catalog")
     c.add_argument("--out", required=True)
+    r = verbs.add_parser("run", help="run prompts and log the answers")
+    r.add_argument("--data", required=True, help="folder of the cases, or of the negative samples")
+    r.add_argument("--negative", action="store_true", help="the data are negative samples")
+    r.add_argument("--templates", required=True, help="folder of prompt files")
+    r.add_argument("--mode", default="all", help="the one template to take")
+    r.add_argument("--case", help="the one case to take")
+    r.add_argument("--responder", required=True, help="module:function that answers (prompt, input)")
+    r.add_argument("--model", required=True)
+    r.add_argument("--provider", default="")
+    r.add_argument("--waves", type=int, default=1, help="parts that are committed one by one")
+    r.add_argument("--out", required=True)
     d = verbs.add_parser("manual", help="scripts of the manual analyses for the viewer")
     d.add_argument("--input", required=True, help="a JSON file, or a folder of them")
     d.add_argument("--strict", action="store_true", help="a file of another shape is an error")
@@ -51,6 +63,10 @@ def main(words: list[str] | None = None) -> None:
     elif told.verb == "prompts":
         config = RunConfig(case=told.case, all_cases=told.case is None)
         logs.write_json(analysis.case_prompts(spark, config, told.cases, load_prompts(spark, told.templates, told.mode)), told.out)
+    elif told.verb == "run":
+        module, _, function = told.responder.partition(":")
+        config = RunConfig(case=told.case, all_cases=not told.negative and told.case is None, negative=told.negative)
+        print(analysis.run_prompts(spark, config, told.data, load_prompts(spark, told.templates, told.mode), getattr(importlib.import_module(module), function), told.out, told.model, told.provider, told.waves))
     elif told.verb == "manual":
         entries = manual.merged(manual.manual_entries(manual.read_manual(spark, told.input), told.strict))
         logs.write_object_script(entries, "MANUAL_ANALYSIS_DATA", f"{told.out}/manual_analysis_dataset")

@@ -32,7 +32,8 @@ class RunConfig:
 
     def targets(self, cases: DataFrame) -> DataFrame:
         chosen = cases.where(F.col("language").isin(list(self.languages)))
-        return chosen if self.case is None else chosen.where(F.col("case_id") == self.case)
+        # a case is told by its folder, or by the folder's name up to the first underscore
+        return chosen if self.case is None else chosen.where((F.col("case_id") == self.case) | (F.split_part("case_id", F.lit("_"), F.lit(1)) == self.case))
 
 
 def prompt_inputs(combos: DataFrame, files: DataFrame) -> DataFrame:
@@ -59,10 +60,10 @@ def prompt_frame(inputs: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def load_prompts(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
-    """(prompt, template) of the ``*.txt`` and ``*.md`` files of a folder, named by their stems; ``mode`` takes the one of that name."""
+    """(prompt, template) of the ``*.txt`` and ``*.md`` files of a folder, named by their stems; ``mode`` takes the one of that name, ``all`` (or none) takes every one."""
     rows = spark.read.option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     rows = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.(txt|md)$", "").alias("prompt"), F.col("value").alias("template"))
-    return rows if mode is None else rows.where(F.lower("prompt") == mode.lower())
+    return rows if mode is None or mode.lower() == "all" else rows.where(F.lower("prompt") == mode.lower())
 
 
 def respond(prompts: DataFrame, responder: Callable[[str, str], str]) -> DataFrame:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayscore.functions.text import cwe_numbers, line_count, prompt_name
+from wayscore.functions.text import cwe_numbers, headed, line_count, prompt_name
 from wayscore.operators import best, catalog, nodes, prompts, stats, tables
 from wayscore.operators.model import predictive_power
-from wayscore.sources import logs
+from wayscore.sources import logs, run_logs
 
 # Names of the files of a case, below <language>/<case>/annotations/.
 PATHS, META, COMBOS = "vulnerable_paths.json", "cve_metadata.json", "input_filenames.json"
@@ -173,6 +173,40 @@ def case_prompts(spark: SparkSession, config: prompts.RunConfig, cases: str, tem
     return prompts.prompt_frame(inputs.join(chosen.select(F.col("folder").alias("case_id"), "language"), "case_id"), templates)
 
 
+def sample_prompts(spark: SparkSession, config: prompts.RunConfig, samples: str, templates: DataFrame) -> DataFrame:
+    """The prompts of negative samples: the first source of each with every template; ``about`` tells its files and metadata."""
+    chosen = config.targets(logs.sample_files(spark, samples).withColumn("case_id", F.col("folder")))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    texts = spark.read.option("recursiveFileLookup", True).text(samples, wholetext=True)
+    texts = texts.select(plain(F.col("_metadata.file_path")).alias("at"), "value")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    source = texts.where(F.col("at").rlike(r"\.(py|java)$")).select(F.element_at(F.split("at", "/"), -3).alias("language"), F.element_at(F.split("at", "/"), -2).alias("folder"), name("at").alias("source_file"), F.col("value").alias("content"))
+    told = texts.select("at", F.try_parse_json("value").alias("metadata"))
+    rows = chosen.join(source, ["language", "folder", "source_file"]).withColumn("at", plain("metadata_file")).join(told, "at", "left")
+    about = F.struct("source_file", name("metadata_file").alias("metadata_file"), "metadata")
+    inputs = rows.select(F.col("folder").alias("subject"), F.lit(0).alias("combo"), "language", headed(F.col("source_file"), F.col("content")).alias("input"), about.alias("about"))
+    return prompts.prompt_frame(inputs, templates)
+
+
+def run_prompts(spark: SparkSession, config: prompts.RunConfig, data: str, templates: DataFrame, responder, out: str, model: str, provider: str = "", waves: int = 1) -> int:
+    """Runs the prompts of the chosen cases, or of the negative samples, below ``data`` and logs the answers below ``out``; returns how many calls were due."""
+    if templates.isEmpty():
+        raise ValueError("no prompts were found")
+    if config.negative:
+        asked = sample_prompts(spark, config, data, templates)
+    else:
+        made = case_prompts(spark, config, data, templates)
+        files = case_files(spark, data).where(F.col("combos").isNotNull()).select(F.concat_ws("/", "language", "folder").alias("folder"), F.col("combos").alias("content"))
+        made = made.join(logs.combinations(files), ["case_id", "combo"])
+        subject = F.split_part(F.element_at(F.split("case_id", "/"), -1), F.lit("_"), F.lit(1))
+        asked = made.select(subject.alias("subject"), "combo", "language", "prompt", "prompt_text", "input", F.struct(F.col("files").alias("file_combination")).alias("about"))
+        if config.case is not None:
+            asked = asked.where(F.col("subject") == config.case.split("_")[0])
+    if asked.isEmpty():
+        raise ValueError(f"nothing to run below {data} for {', '.join(config.languages)}")
+    return run_logs.run(asked, responder, out, model, provider, 0 if config.negative else 1, "negative" if config.negative else "rq1", waves)
+
+
 def viewer(spark: SparkSession, cases: str) -> DataFrame:
     """The catalog of cases that have all three annotation files."""
     files = case_files(spark, cases).where("paths is not null and meta is not null and combos is not null").withColumn("case_id", case_id())
