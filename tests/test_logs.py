@@ -57,3 +57,34 @@ def test_entry_survives_without_training_data():
     import __spark_entry__ as e
 
     assert "model_summary" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_first_and_only_prefix_hits(spark):
+    folders = spark.createDataFrame([("J", "CVE-1"), ("J", "CVE-1_a"), ("J", "CVE-12_b"), ("P", "CVE-2_c")], "language string, folder string")
+    keys = spark.createDataFrame([("J", "CVE-1"), ("J", "CVE-12"), ("J", "CVE-1_"), ("P", "CVE-2"), ("P", "CVE-1"), ("J", ""), ("J", None)], "language string, case_key string")
+    only = {(r.language, r.case_key): r.folder for r in logs.find_case(keys, folders).collect()}
+    assert only == {("J", "CVE-1"): None, ("J", "CVE-12"): "CVE-12_b", ("J", "CVE-1_"): "CVE-1_a", ("P", "CVE-2"): "CVE-2_c", ("P", "CVE-1"): None, ("J", ""): None, ("J", None): None}
+    first = {(r.language, r.case_key): r.folder for r in logs.find_case(keys, folders, first=True).collect()}
+    assert first == only | {("J", "CVE-1"): "CVE-1", ("J", ""): "CVE-1"}
+
+
+def test_each_log_is_parsed_once(spark, tmp_path):
+    """A second run reads the files that came since the first; equal stems go by the last path, as in ``read_logs``."""
+    from wayscore.streaming.logs import ingested
+
+    def put(name, body):
+        (tmp_path / "logs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "logs" / name).write_text(body)
+
+    def seen():
+        found = ingested(spark, str(tmp_path / "logs"), str(tmp_path / "table"))
+        assert sorted(map(str, found.collect())) == sorted(map(str, logs.read_logs(spark, str(tmp_path / "logs")).select(found.columns).collect()))
+        return sorted((r.run_id, r.model, r._corrupt is None) for r in found.collect()), spark.read.parquet(str(tmp_path / "table" / "parsed")).count()
+
+    put("x/a.json", '{"model": "m"}')
+    put("x/bad.json", "{")
+    put("x/exception_b.json", "{}")
+    assert seen() == ([("a", "m", True), ("bad", None, False)], 3)
+    put("y/a.json", '{"model": "n"}')
+    assert seen() == ([("a", "n", True), ("bad", None, False)], 4)
+    assert seen()[1] == 4

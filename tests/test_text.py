@@ -42,3 +42,24 @@ def test_presentation(spark):
     shown = one(spark, -0.2, lambda c: numeric.shown_effect(c, numeric.cliffs_label(c)), "double")
     assert shown == "0.20 (S)"
     assert one(spark, "x", numeric.number) == 0.0 and one(spark, -1.0, numeric.unsentinel, "double") == 0.0
+
+
+def test_weakness_values_of_any_shape(spark):
+    """Against the recursive statement: a whole number is itself, a list the union of its items, anything else the numbers its text mentions."""
+    import json
+    import re
+
+    def plainly(v):
+        if v is None:
+            return set()
+        if isinstance(v, int) and not isinstance(v, bool):
+            return {v}
+        if isinstance(v, list):
+            return set().union(*map(plainly, v)) if v else set()
+        return {int(n) for n in re.findall(r"cwe[\s\-_]*?(\d+)", str(v), re.I)}
+
+    values = [79, "CWE-89", [79, ["CWE-20"]], None, [], [[[]], [[5, [6, ["cwe_7 CWE 8"]]]]], {"a": "CWE-1", "b": [2, {"c": 3}], "CWE-4": 5}, [{"x": [9]}, 10], -3, 1.5, [2.0, 3e2], 'quote " CWE-11 \\', "é\u2028 CWE-12", [True, "79"], "79"]
+    raw = [(i, json.dumps(v)) for i, v in enumerate(values)] + [(98, None), (99, "")]
+    got = {r.i: r.found for r in spark.createDataFrame(raw, "i int, raw string").select("i", text.cwe_values(F.col("raw")).alias("found")).collect()}
+    assert {i: set(f) for i, f in got.items()} == {i: plainly(v) for i, v in enumerate(values)} | {98: set(), 99: set()}
+    assert all(len(f) == len(set(f)) for f in got.values())

@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--thresholds", nargs="*", type=float, default=[0.25, 0.5, 0.75, 1.0])
     a.add_argument("--targets", nargs="*", type=int, default=[22, 20, 94, 502])
     a.add_argument("--no-recursive", action="store_true")
+    a.add_argument("--incremental", action="store_true", help="parse only logs that came since the last run")
     b = verbs.add_parser("prompts", help="prompts of the cases, as JSON")
     b.add_argument("--cases", required=True)
     b.add_argument("--templates", required=True, help="folder of prompt files")
@@ -58,7 +59,7 @@ def main(words: list[str] | None = None) -> None:
     told = parser().parse_args(words)
     spark = SparkSession.builder.appName("wayscore").getOrCreate()
     if told.verb == "analyse":
-        config = analysis.AnalysisConfig(told.logs, told.cases, told.samples, told.out, told.model, tuple(told.models), tuple(told.thresholds), targets=tuple(told.targets), recursive=not told.no_recursive)
+        config = analysis.AnalysisConfig(told.logs, told.cases, told.samples, told.out, told.model, tuple(told.models), tuple(told.thresholds), targets=tuple(told.targets), recursive=not told.no_recursive, incremental=told.incremental)
         print(*analysis.analyse(spark, config), sep="\n")
     elif told.verb == "prompts":
         config = RunConfig(case=told.case, all_cases=told.case is None)

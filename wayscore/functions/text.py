@@ -75,9 +75,32 @@ def headed(name: Column, text: Column) -> Column:
 
 
 def cwe_numbers(c: Column) -> Column:
-    """Distinct numbers of all ``CWE-<n>`` mentions in an array of texts, in order."""
+    """Distinct numbers of all ``CWE-<n>`` mentions in an array of texts, in order; numbers beyond an int are none."""
     joined = F.concat_ws(" ", c)
-    return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(WEAKNESS), F.lit(1)), lambda x: x.cast("int")))
+    return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(joined, F.lit(WEAKNESS), F.lit(1)), lambda x: x.try_cast("int"))))
+
+
+#: A text, a number, or a brace of JSON.
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?|[{}]'
+
+
+def cwe_values(raw: Column) -> Column:
+    """Distinct weakness numbers of a JSON value of any shape, in order.
+
+    Whole numbers by themselves or in lists, however nested, are weaknesses; of
+    texts, those that they mention.  In an object only texts count.  Null, and
+    what isn't JSON, gives none.
+    """
+    tokens = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(JSON_TOKEN), F.lit(0))
+    none = F.array().cast("array<int>")
+    state = F.struct(F.lit(0).alias("deep"), none.alias("found"))
+
+    def step(s, t):
+        text = F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")
+        told = F.when(t.startswith('"'), cwe_numbers(F.array(text))).when((s["deep"] == 0) & t.rlike(r"^-?\d+$"), F.array_compact(F.array(t.try_cast("int")))).otherwise(none)
+        return F.struct((s["deep"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).alias("deep"), F.concat(s["found"], told).alias("found"))
+
+    return F.array_distinct(F.aggregate(tokens, state, step, lambda s: s["found"]))
 
 
 def prompt_name(c: Column) -> Column:

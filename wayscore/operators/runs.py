@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from wayscore.operators.nodes import intervals_meet, overlap_pairs
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 
 def _meets(r: Column, p: Column) -> Column:
     return (r["file"] == p["file"]) & intervals_meet(r["start_line"], r["end_line"], p["start_line"], p["end_line"])
@@ -52,10 +59,70 @@ def contiguous_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFr
     return _walked(seeds.agg(F.min(F.struct("real_idx", "pred_idx")).alias("seed")), pred, real)
 
 
+def _ends(file_r, low_r, high_r, file_p, low_p, high_p):
+    """Of the matching pairs of nodes of two paths: reference index, predicted index, end of the run in the reference, predicted nodes taken.
+
+    From the last predicted node back, ``end[i]`` is where a run that stands at
+    reference node i ends if the next predicted node is the one at hand.
+    """
+    import numpy as np
+
+    n = len(file_r)
+    meets = (file_p[:, None] == file_r) & ~((high_p[:, None] < low_r) | (high_r < low_p[:, None]))
+    meets &= (file_p[:, None] >= 0) & ~np.isnan(low_p + high_p)[:, None] & ~np.isnan(low_r + high_r)
+    here = np.arange(n)
+    end, taken = np.arange(n + 1), np.zeros(n + 1, dtype=np.int64)
+    found = []
+    for j in reversed(range(len(file_p))):
+        stop = np.minimum.accumulate(np.where(meets[j], n, here)[::-1])[::-1]  # the first node from i on that isn't met
+        end, taken = np.append(np.where(meets[j], end[stop], here), n), np.append(np.where(meets[j], taken[stop] + 1, 0), 0)
+        at = np.flatnonzero(meets[j])
+        found.append((at, np.full(len(at), j), end[at], taken[at]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(4))
+
+
+def _walked_at_once(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    def nodes(column):
+        flat, ends = column.flatten(), np.asarray(column.offsets)
+        numbers = [flat.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("start_line", "end_line")]
+        return flat.field("file"), numbers, ends - ends[0]
+
+    for batch in batches:
+        (files_r, (low_r, high_r), at_r), (files_p, (low_p, high_p), at_p) = nodes(batch.column(4)), nodes(batch.column(5))
+        codes = pa.chunked_array([files_r, files_p]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        codes_r, codes_p = codes[: len(files_r)], codes[len(files_r) :]
+        rows, found, sizes = [], [], []
+        for i in range(batch.num_rows):
+            r, p = slice(at_r[i], at_r[i + 1]), slice(at_p[i], at_p[i + 1])
+            one = _ends(codes_r[r], low_r[r], high_r[r], codes_p[p], low_p[p], high_p[p])
+            rows.append(np.full(len(one[0]), i))
+            found.append(one)
+            sizes.append(np.broadcast_to([[r.stop - r.start], [p.stop - p.start]], (2, len(one[0]))))
+        if not rows:
+            continue
+        keys = batch.select(range(4)).take(pa.array(np.concatenate(rows)))
+        start, out, end, taken = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(4))
+        n_real, n_pred = np.concatenate(sizes, axis=1).astype(np.int64)
+        made = [end - start, start, end - 1, out, out + taken - 1, n_real, n_pred, (end - start) / np.maximum(n_real, 1)]
+        yield pa.RecordBatch.from_arrays([*keys.columns, *map(pa.array, made)], [*keys.schema.names, *RUN])
+
+
+RUN = ("lcs_len", "real_start", "real_end", "out_start", "out_end", "lcs_real_len", "lcs_out_len", "lcnr")
+
+
 def all_runs(pred: DataFrame, real: DataFrame, runs: DataFrame, min_len: int = 1) -> DataFrame:
-    """The runs from every matching pair of nodes that take at least ``min_len`` reference nodes, as ``contiguous_runs`` returns them."""
-    pairs = overlap_pairs(pred, real, runs, guard=False)
-    return _walked(pairs.select("run_id", "case_id", "path_ord", "op_idx", F.struct("real_idx", "pred_idx").alias("seed")), pred, real).where(F.col("lcs_len") >= min_len)
+    """The runs from every matching pair of nodes that take at least ``min_len`` reference nodes, as ``contiguous_runs`` returns them.
+
+    One programme over the match matrix of a path and a finding that share a file gives all of their runs.
+    """
+    shared = pred.select("run_id", "op_idx", "file").distinct().join(runs.select("run_id", "case_id"), "run_id").join(real.select("case_id", "path_ord", "file").distinct(), ["case_id", "file"])
+    keys = ["run_id", "case_id", "path_ord", "op_idx"]
+    both = shared.select(*keys).distinct().join(path_arrays(real), ["case_id", "path_ord"]).join(finding_arrays(pred), ["run_id", "op_idx"]).select(*keys, "real", "pred")
+    schema = StructType([*both.schema.fields[:4], *(StructField(c, DoubleType() if c == "lcnr" else LongType()) for c in RUN)])
+    return both.mapInArrow(_walked_at_once, schema).where(F.col("lcs_len") >= min_len)
 
 
 def longest_runs(pred: DataFrame, real: DataFrame, runs: DataFrame) -> DataFrame:

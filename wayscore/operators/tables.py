@@ -38,21 +38,31 @@ def model_summary(frame: DataFrame, prompt: str = "llmpath") -> DataFrame:
     return made.orderBy(F.desc("median_nor"), F.desc("median_lcnr"), F.desc("source_rate"), F.desc("sink_rate"), "model")
 
 
-def by_tag(frame: DataFrame, tags: Column, targets: list, measures: dict[str, Column]) -> DataFrame:
-    """Aggregates per target tag, as rows of measures and one column per tag; groups overlap, and empty ones are null."""
-    spark = frame.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in targets], ["tag"])
+def by_tag(frame: DataFrame, tags: Column, targets: list, measures: dict[str, Column], medians: dict[str, Column] | None = None) -> DataFrame:
+    """Aggregates and medians per target tag, as rows of measures and one column per tag; groups overlap, and empty ones are null.
+
+    Medians are exact, from distinct values that are dealt over many tasks.
+    """
+    wanted = frame.sparkSession.createDataFrame([(t,) for t in targets], ["tag"])
     hit = frame.withColumn("tag", F.explode(F.array_intersect(tags, F.array(*map(F.lit, targets)))))
-    made = F.broadcast(wanted).join(hit.groupBy("tag").agg(*(c.cast("double").alias(n) for n, c in measures.items())), "tag", "left")
-    tall = made.select("tag", F.explode(F.create_map(*(x for n in measures for x in (F.lit(n), F.col(n))))).alias("measure", "value"))
+    made = F.broadcast(wanted)
+    if measures:
+        made = made.join(hit.groupBy("tag").agg(*(c.cast("double").alias(n) for n, c in measures.items())), "tag", "left")
+    tall = made.select("tag", F.explode(F.create_map(*(x for n in measures for x in (F.lit(n), F.col(n))))).alias("measure", "value")) if measures else None
+    if medians:
+        cells = F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), c.cast("double").alias("value")) for n, c in medians.items())))
+        each = hit.select("tag", cells.alias("m")).groupBy("tag", "m.measure", "m.value").agg(F.count("*").alias("c"))
+        middle = exact_quantiles(each, ["tag", "measure"], "value", "c", (0.5,)).select("tag", "measure", F.get("q", F.lit(0)).alias("value"))
+        every = F.broadcast(wanted.select("tag", F.explode(F.array(*map(F.lit, medians))).alias("measure"))).join(middle, ["tag", "measure"], "left")
+        tall = every if tall is None else tall.unionByName(every)
     return tall.groupBy("measure").pivot("tag", targets).agg(F.first("value"))
 
 
 def weakness_table(frame: DataFrame, targets: tuple[int, ...] = (22, 20, 94, 502)) -> DataFrame:
     """Median ratios and end-hit means of results with column cwes, per weakness class."""
     some = overlapping()
-    measures = {"median_nor": F.median("nor"), "median_lcnr": F.median("lcnr"), "source_rate": _rate("source_hit", some), "sink_rate": _rate("sink_hit", some)}
-    return by_tag(frame, F.col("cwes"), list(targets), measures)
+    measures = {"source_rate": _rate("source_hit", some), "sink_rate": _rate("sink_hit", some)}
+    return by_tag(frame, F.col("cwes"), list(targets), measures, {"median_nor": F.col("nor"), "median_lcnr": F.col("lcnr")})
 
 
 def confusion(frame: DataFrame, keys: list[str]) -> DataFrame:

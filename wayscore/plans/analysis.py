@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayscore.functions.text import cwe_numbers, headed, line_count, prompt_name
+from wayscore.functions.text import cwe_values, headed, line_count, prompt_name
 from wayscore.operators import best, catalog, nodes, prompts, stats, tables
 from wayscore.operators.model import predictive_power
 from wayscore.sources import logs, run_logs
+from wayscore.streaming.logs import ingested
 
 # Names of the files of a case, below <language>/<case>/annotations/.
 PATHS, META, COMBOS = "vulnerable_paths.json", "cve_metadata.json", "input_filenames.json"
@@ -33,6 +34,8 @@ class AnalysisConfig:
     features: tuple[str, ...] = FEATURES
     targets: tuple[int, ...] = (22, 20, 94, 502)
     recursive: bool = True
+    #: Keep the parsed logs below ``out`` and read only files that came since the last run; logs that were deleted stay.
+    incremental: bool = False
 
     def __post_init__(self):
         if not (self.logs and self.cases and self.out and self.model):
@@ -71,15 +74,16 @@ def runs_of(spark: SparkSession, config: AnalysisConfig) -> DataFrame:
     readable = F.json_object_keys("paths").isNotNull() & F.json_object_keys("meta").isNotNull()
     cases = files.where(F.coalesce(F.col("paths"), F.col("meta")).isNotNull()).select("language", "folder", F.coalesce(readable, F.lit(False)).alias("loaded"))
     samples = samples_of(spark, config.samples)
-    rows = logs.routed(logs.read_logs(spark, config.logs, config.recursive), cases, samples.select("language", "folder", "loaded"))
-    told = files.select("language", "folder", F.from_json(F.get_json_object("meta", "$.cwe_id"), "array<string>").alias("tags"))
+    found = ingested(spark, config.logs, f"{config.out.rstrip('/')}/_logs", config.recursive) if config.incremental else logs.read_logs(spark, config.logs, config.recursive)
+    rows = logs.routed(found, cases, samples.select("language", "folder", "loaded"))
+    told = files.select("language", "folder", F.to_json(F.try_variant_get(F.try_parse_json("meta"), "$.cwe_id", "variant")).alias("tags"))
     rows = rows.join(told, ["language", "folder"], "left").join(samples.drop("loaded"), ["language", "folder"], "left")
     actual = F.when(F.col("negative"), F.coalesce("actual_label", "label", F.lit(0))).otherwise(F.coalesce("actual_label", F.lit(1)))
     return rows.select(
         "run_id", "filename", "reason", "negative", "language", "model", "prompt", "findings", "lines", "has_findings", "output_label", "sources",
         F.col("key").alias("case_key"), case_id().alias("case_id"), F.col("needed").alias("needed_files"), F.when(F.col("has_findings"), "path").otherwise("line").alias("output_format"),
         actual.alias("actual_label"), (F.col("output_label") == actual).cast("int").alias("label_correct"), F.size("needed").alias("n_files"), line_count(F.col("input")).alias("n_lines"),
-        F.col("usage.input_tokens").alias("input_tokens"), F.col("usage.output_tokens").alias("output_tokens"), cwe_numbers(F.coalesce("tags", F.array().cast("array<string>"))).alias("cwes"),
+        F.col("usage.input_tokens").alias("input_tokens"), F.col("usage.output_tokens").alias("output_tokens"), cwe_values(F.col("tags")).alias("cwes"),
     )
 
 
@@ -115,18 +119,18 @@ def scored_runs(runs: DataFrame, files: DataFrame) -> DataFrame:
 def result_tables(spark: SparkSession, config: AnalysisConfig) -> dict[str, DataFrame]:
     """All tables by name; a table whose rows are missing is empty.
 
-    Logs are read and scored once: the scored runs are stored as ``_scored``
-    and ``_negative`` below ``config.out``, and the tables made from those.
+    Logs are parsed once: the routed runs are stored as ``_runs`` below
+    ``config.out``, the scored ones as ``_scored``, and the tables made from those.
     """
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{config.out.rstrip('/')}/{name}")
         return spark.read.schema(df.schema).parquet(f"{config.out.rstrip('/')}/{name}")
 
-    runs = runs_of(spark, config)
+    runs = stored(runs_of(spark, config), "_runs")
     scored = stored(scored_runs(runs, case_files(spark, config.cases)), "_scored")
     one = scored.where((F.col("model") == config.model) & (F.col("prompt") == "llmpath"))
-    negative = stored(runs.where("reason is null and negative").drop("findings", "lines"), "_negative")
+    negative = runs.where("reason is null and negative").drop("findings", "lines")
     features = list(config.features)
     labels = lambda df: df.select("model", prompt_name(F.col("prompt")).alias("prompt"), F.col("actual_label").alias("actual"), F.col("output_label").alias("predicted"))
     models = list(config.models) or [config.model]

@@ -103,6 +103,18 @@ def contiguous_run(spark, sf):
     return rounded(longs(walks.contiguous_runs(pred, real, runs).drop("case_id", "path_ord")), "lcnr")
 
 
+@query(
+    _with(a.SQL, a.RUN_SQL, recursive=True)
+    + """, every AS (SELECT run_id, op_idx, real_idx AS i0, pred_idx AS j0, real_idx AS i, pred_idx AS j, 0 AS n FROM pairs
+        UNION ALL SELECT w.run_id, w.op_idx, i0, j0, s.stop, w.j + 1, n + 1 FROM every w JOIN stops s ON s.run_id = w.run_id AND s.op_idx = w.op_idx AND s.i = w.i AND s.j = w.j WHERE s.stop > w.i)
+    SELECT run_id, op_idx::BIGINT AS op_idx, i0::BIGINT AS real_start, (max(i) - 1)::BIGINT AS real_end, j0::BIGINT AS out_start, (j0 + max(n) - 1)::BIGINT AS out_end, (max(i) - i0)::BIGINT AS lcs_len
+    FROM every GROUP BY run_id, op_idx, i0, j0"""
+)
+def all_runs(spark, sf):
+    runs, real, pred = frames(spark, sf)
+    return longs(walks.all_runs(pred, real, runs).select("run_id", "op_idx", "real_start", "real_end", "out_start", "out_end", "lcs_len"))
+
+
 @query(_with(a.SQL, a.RUN_SQL, recursive=True) + "SELECT run_id, lcs_len::BIGINT AS lcs_len, round(lcnr, 6) AS lcnr FROM bestrun")
 def best_run(spark, sf):
     runs, real, pred = frames(spark, sf)
@@ -161,8 +173,7 @@ TAGS = ["STEEL", "BRASS", "Brand#1", "Brand#2"]
 def tag_metric_table(spark, sf):
     p = a.table(spark, sf, "part")
     tags = F.array_compact(F.array(*(F.when(F.col("p_type").contains(t) | F.col("p_brand").startswith(t), t) for t in TAGS)))
-    measures = {"median_size": F.median("p_size"), "mean_price": F.avg("p_retailprice"), "n": F.count("*")}
-    made = tables.by_tag(p, tags, TAGS, measures)
+    made = tables.by_tag(p, tags, TAGS, {"mean_price": F.avg("p_retailprice"), "n": F.count("*")}, {"median_size": F.col("p_size")})
     # a measure whose every group is empty still has its row; SQL leaves it out
     return made.where(" or ".join(f"`{t}` is not null" for t in TAGS)).select("measure", *(F.round(f"`{t}`", 4).alias(t) for t in TAGS))
 
@@ -407,6 +418,20 @@ def cwe_numbers(spark, sf):
     return a.table(spark, sf, "part").select("p_partkey", F.array_join(text.cwe_numbers(tags).cast("array<string>"), ",").alias("cwes"))
 
 
+@query(
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN concat_ws(',', p_partkey, 7) WHEN 2 THEN concat_ws(',', p_size, p_partkey, 5) WHEN 3 THEN '20' ELSE '' END AS cwes
+    FROM part WHERE NOT (p_size % 6 = 1 AND p_partkey = 7) AND NOT (p_size % 6 = 2 AND (p_partkey IN (5, p_size) OR p_size = 5))"""
+)
+def cwe_values(spark, sf):
+    """A number, a text with two mentions, nested lists, an object, a number that isn't whole, null."""
+    p = a.table(spark, sf, "part")
+    p = p.where("not (p_size % 6 = 1 and p_partkey = 7) and not (p_size % 6 = 2 and (p_partkey in (5, p_size) or p_size = 5))")
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    shown = [size, F.concat(F.lit('"CWE-'), key, F.lit(' and cwe_7"')), F.concat(F.lit("["), size, F.lit(', ["CWE-'), key, F.lit('", [[], [5, '), size, F.lit(']]], "none"]')), F.lit('{"n": 79, "of": ["CWE 20", 89]}'), F.lit("[20.5, true]"), F.lit("null")]
+    raw = F.coalesce(*(F.when(F.col("p_size") % 6 == i, x) for i, x in enumerate(shown)))
+    return p.select("p_partkey", F.array_join(text.cwe_values(raw).cast("array<string>"), ",").alias("cwes"))
+
+
 @query("SELECT o_orderkey, 'a__b_' || o_orderstatus || '_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.json' AS name FROM orders")
 def log_names(spark, sf):
     return a.table(spark, sf, "orders").select("o_orderkey", text.log_name([F.lit("a/b"), F.col("o_orderstatus")], F.col("o_orderdate")).alias("name"))
@@ -423,6 +448,17 @@ def prefix_lookup(spark, sf):
     return logs.find_case(keys, folders).select("case_key", "folder")
 
 
+@query(
+    """WITH names AS (SELECT DISTINCT p_brand AS folder FROM part), keys AS (SELECT DISTINCT left(p_brand, p_size % 9) AS k FROM part UNION SELECT 'Brand#9')
+    SELECT k AS case_key, min(folder) AS folder FROM keys LEFT JOIN names ON starts_with(folder, k) GROUP BY 1"""
+)
+def first_prefix_hit(spark, sf):
+    p = a.table(spark, sf, "part")
+    folders = p.select(F.lit("x").alias("language"), F.col("p_brand").alias("folder")).distinct()
+    keys = p.select(F.left("p_brand", F.col("p_size") % 9).alias("case_key")).union(spark.createDataFrame([("Brand#9",)], "case_key string")).distinct().withColumn("language", F.lit("x"))
+    return logs.find_case(keys, folders, first=True).select("case_key", "folder")
+
+
 @query(
     """SELECT d.doc_id, CASE WHEN n_chars < 60 THEN 'load_failure' WHEN l.doc_id IS NULL THEN 'rq1:unmapped' WHEN quality = 0 THEN 'rq1:load_error' WHEN toxic = 1 THEN 'rq1:unsupported' END AS reason
     FROM documents d LEFT JOIN labels l USING (doc_id)"""

@@ -26,7 +26,11 @@ def read_logs(spark: SparkSession, path: str, recursive: bool = True) -> DataFra
         .option("pathGlobFilter", "*.json")
         .json(path)
     )
-    rows = raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"))
+    return last_of_each(raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename")))
+
+
+def last_of_each(rows: DataFrame) -> DataFrame:
+    """Parsed logs by run_id, the file's stem; names with ``exception`` are left out, and of equal stems the last path wins."""
     rows = rows.where(~F.col("filename").contains("exception")).withColumn("run_id", F.regexp_replace("filename", r"\.json$", ""))
     last = Window.partitionBy("run_id").orderBy(F.desc("path"))
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
@@ -56,12 +60,17 @@ def normalised(logs: DataFrame) -> DataFrame:
     ).withColumn("output_label", output_label(F.col("findings"), F.col("has_findings"), F.col("lines")))
 
 
-def find_case(keys: DataFrame, folders: DataFrame, key: str = "case_key") -> DataFrame:
-    """Adds folder: the one folder of the language whose name starts with the key; null where there is none or more than one."""
-    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("folder")), lambda i: F.substring(F.col("folder"), F.lit(1), i)))
-    found = keys.join(folders.select("language", "folder", starts.alias(key)), ["language", key], "left")
+def find_case(keys: DataFrame, folders: DataFrame, key: str = "case_key", first: bool = False) -> DataFrame:
+    """Adds folder: the one folder of the language whose name starts with the key; null where there is none or more than one.
+
+    With ``first``, the first of them by name.  A folder meets keys by its beginnings
+    of those lengths that keys have.
+    """
+    lengths = keys.select("language", F.length(key).alias("_n")).distinct()
+    starts = folders.select("language", "folder").join(lengths, "language").where(F.length("folder") >= F.col("_n"))
+    found = keys.join(starts.select("language", "folder", F.left("folder", "_n").alias(key)), ["language", key], "left")
     one = found.groupBy(*keys.columns).agg(F.count("folder").alias("_n"), F.min("folder").alias("folder"))
-    return one.withColumn("folder", F.when(F.col("_n") == 1, F.col("folder"))).drop("_n")
+    return one.drop("_n") if first else one.withColumn("folder", F.when(F.col("_n") == 1, F.col("folder"))).drop("_n")
 
 
 def reason(negative: Column, corrupt: Column, parsed: Column, key: Column, language: Column, folder: Column, loaded: Column, shape: Column) -> Column:
