@@ -1,4 +1,4 @@
-"""Command lines: ``python -m wayscore analyse | prompts | catalog | run | manual``."""
+"""Command lines: ``python -m wayscore analyse | prompts | catalog | dataset | run | manual``."""
 
 from __future__ import annotations
 
@@ -32,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--cases", required=True)
     c.add_argument("--name", default="catalog")
     c.add_argument("--out", required=True)
+    v = verbs.add_parser("dataset", help="script of the whole dataset for the viewer, with its totals")
+    v.add_argument("--cases", required=True)
+    v.add_argument("--name", default="DATASET")
+    v.add_argument("--out", required=True)
     r = verbs.add_parser("run", help="run prompts and log the answers")
     r.add_argument("--data", required=True, help="folder of the cases, or of the negative samples")
     r.add_argument("--negative", action="store_true", help="the data are negative samples")
@@ -51,7 +55,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(words: list[str] | None = None) -> None:
-    from wayscore.operators import manual
+    from wayscore.operators import catalog, manual
     from wayscore.operators.prompts import RunConfig, load_prompts
     from wayscore.plans import analysis
     from wayscore.sources import logs
@@ -64,6 +68,9 @@ def main(words: list[str] | None = None) -> None:
     elif told.verb == "prompts":
         config = RunConfig(case=told.case, all_cases=told.case is None)
         logs.write_json(analysis.case_prompts(spark, config, told.cases, load_prompts(spark, told.templates, told.mode)), told.out)
+    elif told.verb == "dataset":
+        cases = catalog.nested_catalog(analysis.case_files(spark, told.cases))
+        logs.write_catalog_script(cases, catalog.summary(cases), told.name, told.cases, told.out)
     elif told.verb == "run":
         module, _, function = told.responder.partition(":")
         config = RunConfig(case=told.case, all_cases=not told.negative and told.case is None, negative=told.negative)

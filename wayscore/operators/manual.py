@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayscore.functions.variants import field, says, shown
+
 ENTRY = "struct<key:string,cve:string,entry:string>"
 
 
@@ -19,30 +21,25 @@ def read_manual(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def _field(value: Column, name: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, f"$.{name}", kind)
-
-
 def is_entry(value: Column) -> Column:
     """Whether a VARIANT is an object with one of the two paths; a path that is null counts as given."""
-    return F.coalesce(_field(value, "real_path").isNotNull() | _field(value, "output_path").isNotNull(), F.lit(False))
+    return F.coalesce(field(value, "real_path").isNotNull() | field(value, "output_path").isNotNull(), F.lit(False))
 
 
 def _told(value: Column, name: str) -> Column:
-    """A field as text, null where it is missing or says nothing (null, false, zero, empty)."""
-    kind, text = F.schema_of_variant(_field(value, name)), F.coalesce(_field(value, name, "string"), F.to_json(_field(value, name)))
-    flat = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")
-    nothing = kind.isin("VOID") | (text == "") | text.isin("[]", "{}") & ~flat | (text == "false") & (kind == "BOOLEAN") | ~kind.isin("STRING", "BOOLEAN") & flat & (text.try_cast("double") == 0)
-    return F.when(~F.coalesce(nothing, F.lit(True)), F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+    """A field as text, null where it is missing or says nothing."""
+    found = field(value, name)
+    text = shown(found)
+    return F.when(says(found), F.when(F.schema_of_variant(found) == "BOOLEAN", F.initcap(text)).otherwise(text))
 
 
 def _entry(key: Column, value: Column) -> Column:
     """An entry under its key; without a ``cve`` of its own it gets the key."""
     quoted = F.regexp_extract(F.to_json(F.array(key)), r"(?s)^\[(.*)\]$", 1)
     body = F.to_json(value)
-    own = _field(value, "cve")
+    own = field(value, "cve")
     filled = F.when(own.isNotNull(), body).otherwise(F.concat(F.lit('{"cve":'), quoted, F.lit(","), F.substr(body, F.lit(2))))
-    cve = F.when(own.isNull(), key).otherwise(F.coalesce(_field(value, "cve", "string"), F.nullif(F.to_json(own), F.lit("null"))))
+    cve = F.when(own.isNull(), key).otherwise(shown(own))
     return F.struct(key.alias("key"), cve.alias("cve"), filled.alias("entry"))
 
 

@@ -514,6 +514,36 @@ def viewer_catalog(spark, sf):
     return made.select("case_id", "language", F.size("paths").cast("bigint").alias("n_paths"), F.aggregate("paths", F.lit(0).cast("bigint"), lambda s, p: s + p["node_count"]).alias("n_nodes"))
 
 
+@query(
+    """WITH p AS (SELECT l_orderkey, l_returnflag AS hash, count(*) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT l_orderkey, string_agg(l_file, ',' ORDER BY seen) AS files FROM (SELECT l_orderkey, l_file, min((l_linenumber, l_partkey, l_suppkey)) AS seen FROM (SELECT *, 'f' || (l_suppkey % 7) AS l_file FROM lineitem) JOIN (SELECT l_orderkey, min(hash) AS h FROM p GROUP BY 1) USING (l_orderkey) WHERE l_returnflag = h GROUP BY 1, 2) GROUP BY 1)
+    SELECT o_orderkey::VARCHAR || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' END AS id, o_orderstatus AS language, count(p.hash)::BIGINT AS path_count, coalesce(sum(p.n), 0)::BIGINT AS nodes, coalesce(any_value(files), '') AS files,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'https://github.com/o/' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'https://github.com/p/' || o_custkey END AS project_url,
+    CASE WHEN o_orderkey % 3 = 2 THEN 'u' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'https://github.com/p/' || o_custkey || '/commit/1' END AS commit_url, CASE WHEN o_orderkey % 2 = 0 THEN '["CWE-' || o_custkey || '"]' ELSE '[]' END AS cwes, (1 + o_orderkey % 2)::BIGINT AS combos
+    FROM orders LEFT JOIN p ON l_orderkey = o_orderkey LEFT JOIN f ON f.l_orderkey = o_orderkey GROUP BY ALL"""
+)
+def nested_catalog(spark, sf):
+    i = a.table(spark, sf, "lineitem").withColumn("l_file", F.concat(F.lit("f"), (F.col("l_suppkey") % 7).cast("string")))
+    node = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_file")
+    nodes = i.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").agg(F.transform(F.sort_array(F.collect_list(node)), lambda x: F.struct(x["l_linenumber"].alias("line_number"), x["l_file"].alias("file_name"))).alias("nodes"))
+    paths = nodes.groupBy("o_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "nodes")))).alias("paths"))
+    key, who, odd = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderkey") % 2 == 1
+    meta = F.to_json(
+        F.struct(
+            F.when(~odd, key.cast("string")).alias("cve_id"), F.when(key % 3 == 0, F.concat(F.lit("o/"), who)).otherwise(who).alias("project"), F.when(key % 3 == 1, F.concat(F.lit("https://github.com/p/"), who, F.lit("/commit/1"))).alias("html_url"),
+            F.when(key % 3 == 2, F.concat(F.lit("u"), who)).alias("url"), F.when(~odd, F.array(F.concat(F.lit("CWE-"), who))).alias("cwe_id"),
+        ), {"ignoreNullFields": "false"},
+    )
+    combos = F.when(odd, F.lit('{"files": [["a"], ["a", "b"]]}')).otherwise(F.lit('{"files": [["a"]]}'))
+    files = a.table(spark, sf, "orders").join(paths, "o_orderkey", "left").select(F.col("o_orderstatus").alias("language"), F.concat(key.cast("string"), F.when(odd, "x_y_z").otherwise("_q")).alias("folder"), F.coalesce("paths", F.lit("{}")).alias("paths"), meta.alias("meta"), combos.alias("combos"))
+    made = catalog.nested_catalog(files)
+    count = F.aggregate("paths", F.lit(0).cast("bigint"), lambda s, p: s + p["node_count"])
+    return made.select(
+        "id", "language", F.col("path_count").cast("bigint").alias("path_count"), count.alias("nodes"), F.coalesce(F.array_join(F.get("paths", F.lit(0))["files"], ","), F.lit("")).alias("files"), "project_url",
+        F.try_variant_get("commit_url", "$", "string").alias("commit_url"), F.to_json("cwes").alias("cwes"), F.col("file_combo_count").cast("bigint").alias("combos"),
+    )
+
+
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def last_writer_merge(spark, sf):
     return catalog.last_writer(a.table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")

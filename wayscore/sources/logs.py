@@ -192,3 +192,11 @@ def write_object_script(df: DataFrame, name: str, path: str) -> None:
     """``window.<name> = {<key: entry, one a line>};`` of rows (key, entry), entries being JSON, in ordered parts."""
     quoted = F.regexp_extract(F.to_json(F.array("key")), r"(?s)^\[(.*)\]$", 1)
     _write_lines(df.select("key", F.concat(quoted, F.lit(": "), "entry", F.lit(",")).alias("value")), f"window.{name} = {{", "};", path)
+
+
+def write_catalog_script(cases: DataFrame, summary: DataFrame, name: str, source: str, path: str) -> None:
+    """``window.<name> = {generated_from, summary, cves: [<one case a line>]};``, cases in order of id, language and folder, in ordered parts."""
+    head = summary.select(F.lit(source).alias("generated_from"), F.struct(*summary.columns).alias("summary"))
+    opening = head.select(F.to_json(F.struct(*head.columns))).first()[0]
+    body = cases.select(F.concat_ws("\x01", "id", "language", "dir_name").alias("key"), F.concat(F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"}), F.lit(",")).alias("value"))
+    _write_lines(body, f'window.{name} = {opening[:-1]},"cves":[', "]};", path)
