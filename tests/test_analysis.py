@@ -5,6 +5,7 @@ import json
 import pytest
 
 from wayscore.__main__ import main, parser
+from wayscore.operators import stats
 from wayscore.plans import analysis
 
 
@@ -56,7 +57,7 @@ def test_logs_become_all_tables(spark, folders, capsys):
     assert (by_line.output_format, by_line.nor, by_line.lcnr, by_line.output_label) == ("line", "0.5", "0.0", "1")
     assert {r.model: (r.median_nor, r.runs) for r in read("model_summary")} == {"m1": ("0.5", "3"), "m2": ("1.0", "3"), "m3": ("0.5", "1")}
     assert len(read("best_model")) == 3 and {r.measure for r in read("weakness_table")} == {"median_nor", "median_lcnr", "source_rate", "sink_rate"}
-    assert {r.feature for r in read("threshold_tests")} == set(analysis.FEATURES)  # the reader takes the mark away
+    assert {r.feature for r in read("threshold_tests")} == {stats.LABELS[f] for f in analysis.FEATURES}  # the reader takes the mark away
     assert next((folders / "out" / "threshold_tests").glob("part-*")).read_bytes().startswith("\ufefffeature".encode())
     assert len(read("predictive_power")) == 4
     negative = {r.run_id: r for r in read("negative_results")}

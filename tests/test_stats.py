@@ -1,7 +1,9 @@
+import json
 import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wayscore.functions import special
@@ -117,3 +119,34 @@ def test_density_against_the_kernel_sum(spark):
         assert np.abs(np.array(true) - [d for _, _, d in curve]).max() < 1e-3 * max(true)
     assert [(r.point, r["at"], r.density) for r in got if r.feature == "b"] == [(0, 1.0, 1.0)]
     assert stats.density(f.limit(0), ["a"], 0.5).count() == 0
+
+
+def test_tables_of_tests_are_loaded(spark):
+    """JSON, a Python literal and what the tests themselves give, with thresholds that are known from the text alone."""
+    value = {"0.5": {"realPathLen": {"wilcoxon_p": 0.0123, "delta": -0.4, "mag": "Medium"}, "it's": {"wilcoxon_p": None, "delta": float("nan"), "mag": "None"}}, "1": {"numInputFiles": {"delta": 0.1, "mag": "negligible"}}, "0.25": {}}
+    clean = {t: {f: {k: None if v != v else v for k, v in x.items()} for f, x in fs.items()} for t, fs in value.items()}
+    texts = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
+    made = [sorted(map(tuple, stats.loaded(texts(t)).collect()), key=str) for t in (json.dumps(clean), repr(value), json.dumps(clean, indent=2))]
+    assert made[0] == made[1] == made[2] == sorted([(0.5, "realPathLen", 0.0123, -0.4, "medium"), (0.5, "it's", None, None, "none"), (1.0, "numInputFiles", None, 0.1, "negligible")], key=str)
+    shown = {r.feature: r.asDict() for r in stats.presented_texts(texts(repr(value))).collect()}
+    assert shown["Vulnerable Path Length"] == {"feature": "Vulnerable Path Length", "t0.5_p": "0.012", "t0.5_delta": "0.40 (M)", "t1_p": None, "t1_delta": None}
+    assert shown["Number of Files per Path"]["t1_delta"] == "0.10 (N)" and shown["it's"]["t0.5_p"] == ""
+    tests = stats.all_tests(frame(spark), ["a", "b"], (0.25, 0.5))
+    again = {(r.threshold, r.feature): r for r in stats.loaded(stats.nested(tests)).collect()}
+    for r in tests.collect():
+        assert (again[r.threshold, r.feature].p_mann_whitney, again[r.threshold, r.feature].delta, again[r.threshold, r.feature].delta_size) == (r.p_mann_whitney, r.delta, r.delta_size)
+    with pytest.raises(Exception, match="not a table of tests"):
+        stats.loaded(texts("[1")).collect()
+
+
+def test_exact_p_of_few_against_very_many():
+    """The exact way goes by the smaller tail: a small side costs little however many values the other has."""
+    from itertools import combinations
+
+    for n1, n2 in ((1, 4), (2, 5), (3, 6), (4, 4)):
+        us = [sum(x) - n1 * (n1 + 1) // 2 for x in combinations(range(1, n1 + n2 + 1), n1)]
+        for u in range(n1 * n2 + 1):
+            big = max(u, n1 * n2 - u)
+            assert math.isclose(special.mann_whitney_p(u, n1, n2, 0), min(1.0, 2 * sum(x >= big for x in us) / len(us)))
+    assert math.isclose(special.mann_whitney_p(0, 1, 10**9, 0), 2 / (10**9 + 1))
+    assert math.isclose(special.mann_whitney_p(3 * 10**6, 6, 10**6, 0), 1.0, rel_tol=1e-5)

@@ -44,21 +44,27 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_fraction(df / 2, 0.5, df / (df + t * t))
 
 
+#: Longest tail of the exact distribution that is counted; a longer one is that of at least half a million values, where the normal one is as good.
+EXACT_MOST = 2_000_000
+
+
 def mann_whitney_p(u: float, n1: int, n2: int, tie_term: float) -> float:
-    """Two-sided p of U; exact for a sample of at most eight values and no ties, else normal with corrections.
+    """Two-sided p of U; exact for a sample of at most eight values and no ties unless its tail is very long, else normal with corrections.
 
     tie_term is the sum of t**3 - t over groups of equal values.
     """
     big = max(u, n1 * n2 - u)
-    if min(n1, n2) <= 8 and tie_term == 0:
-        ways = [1] + [0] * (n1 * n2)
-        for i in range(1, min(n1, n2) + 1):  # Gaussian binomial coefficient, factor by factor
-            top = max(n1, n2) + i
-            for k in range(n1 * n2, top - 1, -1):
-                ways[k] -= ways[k - top]
-            for k in range(i, n1 * n2 + 1):
+    few, many = min(n1, n2), max(n1, n2)
+    # with very many values on the other side the exact tail is long, unless it is as short as that of a rare result
+    if few <= 8 and tie_term == 0 and n1 * n2 - math.ceil(big) <= EXACT_MOST:
+        top = n1 * n2 - math.ceil(big)  # by symmetry, the chance of at most so many
+        ways = [1] + [0] * top
+        for i in range(1, few + 1):  # Gaussian binomial coefficient, factor by factor
+            for k in range(top, many + i - 1, -1):
+                ways[k] -= ways[k - many - i]
+            for k in range(i, top + 1):
                 ways[k] += ways[k - i]
-        return min(1.0, 2 * sum(ways[math.ceil(big) :]) / sum(ways))
+        return min(1.0, 2 * sum(ways) / math.comb(few + many, few))
     n = n1 + n2
     sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - tie_term / (n * (n - 1))))
     return min(1.0, 2 * normal_tail((big - n1 * n2 / 2 - 0.5) / sd)) if sd else 1.0

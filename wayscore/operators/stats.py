@@ -146,17 +146,59 @@ def all_tests(frame: DataFrame, features: list[str], thresholds=THRESHOLDS, scor
     return mann_whitney(rows).join(welch(rows), keys, "left").join(cohens_d(rows).drop("n_s", "n_f"), keys, "left").join(p_values(rows), keys, "left").join(normal, keys, "left")
 
 
-def presented(tests: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Rows are features; per threshold, in numeric order, columns t<threshold>_p and t<threshold>_delta."""
+# What features are called in tables.
+LABELS = {"real_len": "Vulnerable Path Length", "n_files": "Number of Files per Path", "input_tokens": "Number of Input Tokens", "n_lines": "Number of Input Lines",
+          "realPathLen": "Vulnerable Path Length", "numInputFiles": "Number of Files per Path", "numInputTokens": "Number of Input Tokens", "numInputLines": "Number of Input Lines"}
+
+
+def presented(tests: DataFrame, thresholds=THRESHOLDS, labels: dict[str, str] | None = None) -> DataFrame:
+    """Rows are features, by their labels if given; per threshold, in numeric order, columns t<threshold>_p and t<threshold>_delta."""
     from wayscore.functions.numeric import shown_effect, shown_p
 
-    cells = tests.select("feature", "threshold", shown_p(F.col("p_mann_whitney")).alias("p"), shown_effect(F.col("delta"), F.col("delta_size")).alias("delta"))
+    name = F.col("feature")
+    if labels:
+        name = F.coalesce(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[name], name)
+    cells = tests.select(name.alias("feature"), "threshold", shown_p(F.col("p_mann_whitney")).alias("p"), shown_effect(F.col("delta"), F.col("delta_size")).alias("delta"))
     made = []
     for t in sorted(thresholds):
         made += [F.max(F.when(F.col("threshold") == t, F.col(c))).alias(f"t{t:g}_{c}") for c in ("p", "delta")]
     return cells.groupBy("feature").agg(*made).orderBy("feature")
 
 
+def nested(tests: DataFrame) -> DataFrame:
+    """All tests as one JSON object: threshold to feature to wilcoxon_p, delta and mag, one row."""
+    effect = F.struct(F.col("p_mann_whitney").alias("wilcoxon_p"), F.col("delta"), F.col("delta_size").alias("mag"))
+    per = tests.groupBy("threshold").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("feature", effect)))).alias("features"))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("threshold", "features"))), lambda x: F.concat(F.lit('"'), x["threshold"].cast("string"), F.lit('": '), x["features"]))
+    return per.agg(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("value"))
+
+
+def loaded(texts: DataFrame, p_key: str = "wilcoxon_p", delta_key: str = "delta", size_key: str = "mag") -> DataFrame:
+    """Tests from texts (value) that hold threshold to feature to values, as JSON or as a Python literal: threshold, feature, p_mann_whitney, delta, delta_size.
+
+    Thresholds and features are whatever the texts name.  A value that is missing,
+    None or not a number is null; a text of another shape is an error.
+    """
+    # words of a literal outside of quotes become JSON's
+    raw = plain = F.col("value")
+    for word, json in (("None", "null"), ("nan", "null"), ("NaN", "null"), ("True", "true"), ("False", "false")):
+        plain = F.regexp_replace(plain, rf"(?<![\w'\"]){word}(?![\w'\"])", json)
+    plain = F.regexp_replace(plain, r",\s*([}\]])", "$1")
+    shape = "map<string,map<string,map<string,string>>>"
+    options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
+    found = F.coalesce(F.from_json(plain, shape, options), F.raise_error(F.concat(F.lit("not a table of tests: "), F.left(raw, F.lit(80)))).cast(shape))
+    rows = texts.select(F.explode(found).alias("threshold", "features")).select("threshold", F.explode("features").alias("feature", "v"))
+    number = lambda k: F.nanvl(F.col("v")[k].try_cast("double"), F.lit(None).cast("double"))
+    return rows.select(F.col("threshold").cast("double").alias("threshold"), "feature", number(p_key).alias("p_mann_whitney"), number(delta_key).alias("delta"), F.lower(F.col("v")[size_key]).alias("delta_size"))
+
+
+def presented_texts(texts: DataFrame, labels: dict[str, str] | None = None, **keys: str) -> DataFrame:
+    """``presented`` of the tests in ``texts``, with a column pair for every threshold that they name."""
+    tests = loaded(texts, **keys)
+    thresholds = [r.threshold for r in tests.select("threshold").distinct().orderBy("threshold").collect()]
+    return presented(tests, thresholds, LABELS if labels is None else labels)
+
+
 def quantiles(frame: DataFrame, features: list[str], threshold: float, score: str = "score") -> DataFrame:
     """Box summary of each side of a threshold; a null score counts as zero."""
     filled = frame.withColumn(score, F.coalesce(score, F.lit(0.0)))

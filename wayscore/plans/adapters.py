@@ -152,3 +152,29 @@ def newton_sql(steps: int = 12) -> str:
         )
         made.append(f"w{k} AS (SELECT t, w0 - v0 AS w0, w1 - v1 AS w1, w2 - v2 AS w2, w3 - v3 AS w3 FROM e{k})")
     return ", ".join(made)
+
+
+def area_sql(density: str, to: str, table: str, keys: str) -> str:
+    """The integral of ``density`` (of x) from nil to ``to`` for every row of ``table``, by Simpson's rule over 4000 steps: keys, area."""
+    return (
+        f"SELECT {keys}, sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * ({density}) * ({to}) / 12000) AS area "
+        f"FROM (SELECT *, ({to}) * k / 4000 AS x FROM {table}, (SELECT unnest(range(4001)) AS k)) GROUP BY {keys}"
+    )
+
+
+#: Two-sided p of U (normal, with ties and continuity) and of Welch's t.
+P_SQL = (
+    """
+ties AS (SELECT threshold, feature, sum(c * c * c - c)::DOUBLE AS tie_term FROM (SELECT threshold, feature, value, count(*)::DOUBLE AS c FROM tall GROUP BY ALL) GROUP BY 1, 2),
+zs AS (SELECT threshold, feature, least(40, (greatest(u, n_s * n_f - u) - n_s * n_f / 2.0 - 0.5) / sqrt(n_s * n_f / 12.0 * ((n_s + n_f + 1) - tie_term / ((n_s + n_f) * (n_s + n_f - 1.0)))))::DOUBLE AS z
+    FROM mw JOIN ties USING (threshold, feature) WHERE n_s > 0 AND n_f > 0),
+za AS ("""
+    + area_sql("exp(-x * x / 2) / sqrt(2 * pi())", "z", "zs", "threshold, feature")
+    + """),
+ts AS (SELECT threshold, feature, least(60, abs(m_s - m_f) / sqrt(v_s / n_s + v_f / n_f)) AS t, (v_s / n_s + v_f / n_f) ** 2 / ((v_s / n_s) ** 2 / (n_s - 1) + (v_f / n_f) ** 2 / (n_f - 1)) AS df FROM mom WHERE n_s > 1 AND n_f > 1),
+ta AS ("""
+    + area_sql("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * (1 + x * x / df) ** (-(df + 1) / 2)", "t", "ts", "threshold, feature")
+    + """),
+ps AS (SELECT threshold, feature, least(1.0, 1 - 2 * za.area) AS p_mann_whitney, 1 - 2 * ta.area AS p_welch FROM za LEFT JOIN ta USING (threshold, feature))
+"""
+)

@@ -140,7 +140,7 @@ def result_tables(spark: SparkSession, config: AnalysisConfig) -> dict[str, Data
         "model_summary": tables.model_summary(scored),
         "best_model": one,
         "weakness_table": tables.weakness_table(one, config.targets),
-        "threshold_tests": stats.presented(stats.all_tests(one, features, config.thresholds, "nor"), config.thresholds),
+        "threshold_tests": stats.presented(stats.all_tests(one, features, config.thresholds, "nor"), config.thresholds, stats.LABELS),
         "predictive_power": predictive_power(one, features, config.thresholds, "nor"),
         "negative_results": negative.select("case_key", "run_id", "prompt", "model", "language", "filename", "output_label", "actual_label", "label_correct", "input_tokens", "output_tokens", "n_files", "n_lines", "needed_files", "sources"),
         "prompt_comparison": tables.prompt_comparison(judged, "LLMPath", models, ["LLMPath", "Baseline"]),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wayscore.functions import numeric, text
+from wayscore.functions import numeric, text, variants
 from wayscore.operators import best, catalog, manual, model, nodes, prompts, stats, tables
 from wayscore.operators import runs as walks
 from wayscore.plans import adapters as a
@@ -356,14 +356,22 @@ def normality(spark, sf):
     return stats.normality(_tall(spark, sf))
 
 
-@query()
+@query(_with(a.DOC_SQL, a.P_SQL) + "SELECT threshold, feature, round(p_mann_whitney, 6) AS p_mann_whitney, round(p_welch, 6) AS p_welch FROM ps")
 def p_values(spark, sf):
-    return stats.p_values(_tall(spark, sf))
+    return rounded(stats.p_values(_tall(spark, sf)), "p_mann_whitney", "p_welch")
 
 
-@query()
+@query(
+    _with(a.DOC_SQL, a.P_SQL)
+    + """, cells AS (SELECT threshold, feature, format('{:.2g}', p_mann_whitney) AS p,
+        format('{:.2f}', abs(d)) || CASE WHEN abs(d) < 0.147 THEN ' (N)' WHEN abs(d) < 0.33 THEN ' (S)' WHEN abs(d) < 0.474 THEN ' (M)' ELSE ' (L)' END AS delta
+        FROM ps JOIN (SELECT threshold, feature, (1 - 2 * u / (n_s * n_f))::DOUBLE AS d FROM mw WHERE n_s > 0 AND n_f > 0) USING (threshold, feature))
+    SELECT 'Feature ' || feature AS feature, """
+    + ", ".join(f"max({c}) FILTER (threshold = {t}) AS \"t{t:g}_{c}\"" for t in (0.25, 0.5, 0.75, 1.0) for c in ("p", "delta"))
+    + " FROM cells GROUP BY 1"
+)
 def threshold_report(spark, sf):
-    return stats.presented(stats.all_tests(a.scored_documents(spark, sf), FEATURES))
+    return stats.presented(stats.all_tests(a.scored_documents(spark, sf), FEATURES), labels={f: f"Feature {f}" for f in FEATURES})
 
 
 # -- text, JSON, ingest -----------------------------------------------------
@@ -381,7 +389,7 @@ def line_numbered(spark, sf):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, sf):
-    return a.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return a.table(spark, sf, "events").select("event_id", variants.shown(variants.field(F.try_parse_json("props"), "k")).alias("k"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'ok' AS state FROM events")
@@ -589,7 +597,8 @@ def prompt_frame(spark, sf):
 
 @query("SELECT o_orderpriority AS model, count(*) AS n, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS open FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def run_selection(spark, sf):
-    o = a.table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    cases = a.table(spark, sf, "orders").withColumns({"language": F.col("o_orderstatus"), "case_id": F.col("o_orderkey").cast("string")})
+    o = prompts.RunConfig(all_cases=True, languages=("O", "F")).targets(cases)
     return o.groupBy(F.col("o_orderpriority").alias("model")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open")).orderBy("model")
 
 
