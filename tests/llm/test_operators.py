@@ -105,6 +105,14 @@ def test_op2_meets_targets(docs, labels):
     assert {r.rate for r in rows if r.tokens == 0} == {1.0}
 
 
+def test_op3_unlike_rows_of_one_vector(spark):
+    """Whatever their order, the least row that can be linked stands for a vec_id."""
+    rows = [(1, [1.0, 0.0]), (1, None), (1, []), (1, [float("nan"), 1.0]), (1, [0.0, 0.0]), (1, [2.0, 5.0]), (2, [1.0, 0.01])]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(order, "vec_id bigint, embedding array<double>").coalesce(1)).collect()}
+        assert got == {1: (1, 1, True), 2: (1, 1, False)}
+
+
 def test_op3_equals_brute_force(spark):
     import numpy as np
 

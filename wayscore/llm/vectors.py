@@ -194,7 +194,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, hashes: int | None = N
     Null, empty or zero vectors and those with null or non-finite components
     are linked with nothing, as are vectors of different lengths with each
     other and rows without a vec_id (component null, kept).  Rows repeated
-    under one vec_id count as one vector, one of its rows standing for it.
+    under one vec_id count as one vector: of its rows that can be linked, the one
+    that is least in order of components.
     Labels and other columns are ignored.  An empty table gives no rows.  The
     number of buckets of a table grows in proportion to the row count, and the
     tables with its logarithm, so buckets stay small and recall doesn't fall;
@@ -205,7 +206,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, hashes: int | None = N
     link = math.acos(cosine)
     tight = math.cos(link / 2 - 1e-6)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    named = rows.where("vec_id is not null").dropDuplicates(["vec_id"])
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
+    named = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     units = written(named.mapInArrow(_units(ball_rounds, 3, seed), "vec_id bigint, v array<double>, keys array<bigint>"), "units")
     total = units.count()
 
