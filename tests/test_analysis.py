@@ -53,7 +53,9 @@ def test_logs_become_all_tables(spark, folders, capsys):
     one = results["CVE-1", "llmpath", "m1"]
     assert (one.nor, one.lcnr, one.source_hit, one.sink_hit, one.cwes, one.needed_files, one.n_files) == ("0.5", "0.5", "true", "false", "22", "A.java", "1")
     assert results["CVE-1", "llmpath", "m2"].nor == "1.0" and results["CVE-3", "llmpath", "m1"].nor == "0.0"
+    assert (one.out_files, one.n_out_files) == ("A.java", "1") and results["CVE-3", "llmpath", "m1"].n_out_files == "0"
     by_line = results["CVE-1", "llmpath", "m3"]
+    assert (by_line.out_files, by_line.n_out_files) == ("A.java", "1")
     assert (by_line.output_format, by_line.nor, by_line.lcnr, by_line.output_label) == ("line", "0.5", "0.0", "1")
     assert {r.model: (r.median_nor, r.runs) for r in read("model_summary")} == {"m1": ("0.5", "3"), "m2": ("1.0", "3"), "m3": ("0.5", "1")}
     assert len(read("best_model")) == 3 and {r.measure for r in read("weakness_table")} == {"median_nor", "median_lcnr", "source_rate", "sink_rate"}
@@ -77,6 +79,14 @@ def test_prompts_and_catalog(spark, folders):
     assert script.startswith("window.shown = [") and script.count('"case_id"') == 2
 
 
+def test_folders_are_checked(spark, folders):
+    words = ["analyse", "--logs", f"{folders}/nowhere", "--cases", f"{folders}/cases", "--out", f"{folders}/out", "--model", "m1"]
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        main(words)
+    with pytest.raises(FileNotFoundError, match="gone"):
+        main([*words[:2], f"{folders}/logs", *words[3:], "--samples", f"{folders}/gone"])
+
+
 def test_words_are_checked():
     with pytest.raises(SystemExit):
         parser().parse_args(["analyse", "--logs", "x"])

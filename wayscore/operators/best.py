@@ -54,7 +54,7 @@ def _scored(runs: DataFrame, paths: DataFrame, findings: DataFrame) -> DataFrame
         "path_ord",
         "op_idx",
         F.when(n > 0, F.struct((n / n_real).alias("nor"), n.alias("overlap_nodes"), n_real.alias("real_len"), n_pred.alias("out_len"),
-            (index(F.get("guarded", F.lit(0))) == 0).alias("source_hit"), (index(F.element_at("guarded", -1)) == n_real - 1).alias("sink_hit"))).alias("match"),
+            (index(F.get("guarded", F.lit(0))) == 0).alias("source_hit"), (index(F.element_at("guarded", -1)) == n_real - 1).alias("sink_hit"), F.sort_array("pred_files").alias("out_files"))).alias("match"),
         F.struct(((F.col("w.i") - F.col("i")) / n_real).alias("lcnr"), (F.col("w.i") - F.col("i")).cast("bigint").alias("lcs_len"), n_real.alias("lcs_real_len"), n_pred.alias("lcs_out_len")).alias("run"),
     )
     return met.groupBy("run_id").agg(
@@ -64,7 +64,7 @@ def _scored(runs: DataFrame, paths: DataFrame, findings: DataFrame) -> DataFrame
 
 
 def results(runs: DataFrame, real: DataFrame, pred: DataFrame) -> DataFrame:
-    """One row per run: its columns and best match; runs without a match get zeros and median lengths."""
+    """One row per run: its columns and best match, with the files of the matched finding; runs without a match get zeros, median lengths and no files."""
     paths, findings = path_arrays(real), finding_arrays(pred)
     joined = median_lengths(runs, paths, findings).join(_scored(runs, paths, findings), "run_id", "left")
     joined = joined.select(*runs.columns, "real_median", "out_median", "m.*", "r.*")
@@ -76,7 +76,8 @@ def results(runs: DataFrame, real: DataFrame, pred: DataFrame) -> DataFrame:
         "lcs_out_len": F.coalesce(F.col("lcs_out_len").cast("double"), "out_median"),
     }
     hits = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("source_hit", "sink_hit")}
-    return joined.withColumns(zero | lengths | hits).drop("real_median", "out_median")
+    files = F.coalesce("out_files", F.array().cast("array<string>"))
+    return joined.withColumns(zero | lengths | hits | {"out_files": files, "n_out_files": F.size(files).cast("bigint")}).drop("real_median", "out_median")
 
 
 def one_per_group(frame: DataFrame, group: list[str], ties: list[str]) -> DataFrame:

@@ -90,14 +90,16 @@ def runs_of(spark: SparkSession, config: AnalysisConfig) -> DataFrame:
 def line_results(runs: DataFrame, real: DataFrame, pred_lines: DataFrame) -> DataFrame:
     """As ``best.results``, for runs of the by-file form: they have no runs of nodes and no end hits."""
     found = nodes.line_matches(pred_lines, real, runs).groupBy("run_id")
-    found = found.agg(F.max_by(F.struct("nor", "overlap_nodes", "real_len"), F.struct("nor", -F.col("path_ord"))).alias("m"))
+    found = found.agg(F.max_by(F.struct("nor", "overlap_nodes", "real_len", "matched_files"), F.struct("nor", -F.col("path_ord"))).alias("m"))
     lengths = nodes.path_lengths(real).groupBy("case_id").agg(F.median("real_len").alias("real_median"))
     joined = runs.join(lengths, "case_id", "left").join(found, "run_id", "left")
     zero, off = F.lit(0.0), F.lit(False)
+    files = F.coalesce("m.matched_files", F.array().cast("array<string>"))
     real_len = F.coalesce(F.col("m.real_len").cast("double"), "real_median", zero)
     return joined.select(
         *runs.columns, F.coalesce("m.nor", zero).alias("nor"), F.coalesce("m.overlap_nodes", F.lit(0)).cast("double").alias("overlap_nodes"), real_len.alias("real_len"), zero.alias("out_len"), zero.alias("lcnr"),
         zero.alias("lcs_len"), real_len.alias("lcs_real_len"), zero.alias("lcs_out_len"), off.alias("source_hit"), off.alias("sink_hit"),
+        files.alias("out_files"), F.size(files).cast("bigint").alias("n_out_files"),
     )
 
 
@@ -155,6 +157,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def analyse(spark: SparkSession, config: AnalysisConfig) -> list[str]:
     """Writes every table as CSV below ``config.out``; returns their names.  The table of tests starts with a byte-order mark, for spreadsheets."""
+    logs.require(spark, config.logs, config.cases, *([config.samples] if config.samples else []))
     made = result_tables(spark, config)
     for name, df in made.items():
         df = flat(df)
@@ -194,6 +197,7 @@ def sample_prompts(spark: SparkSession, config: prompts.RunConfig, samples: str,
 
 def run_prompts(spark: SparkSession, config: prompts.RunConfig, data: str, templates: DataFrame, responder, out: str, model: str, provider: str = "", waves: int = 1) -> int:
     """Runs the prompts of the chosen cases, or of the negative samples, below ``data`` and logs the answers below ``out``; returns how many calls were due."""
+    logs.require(spark, data)
     if templates.isEmpty():
         raise ValueError("no prompts were found")
     if config.negative:

@@ -15,6 +15,14 @@ LINE_FORM = "map<string,struct<vulnerable_lines:string,explanation:string>>"
 REAL_FORM = "map<string,array<struct<line_number:int,file_name:string,code_snippet:string,endLine:int>>>"
 
 
+def require(spark: SparkSession, *paths: str) -> None:
+    """Raises FileNotFoundError for the first path that isn't there, on whatever file system."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(f"there is no {path}")
+
+
 def read_logs(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """One row per ``*.json`` log, names with ``exception`` left out; of equal file stems the last path wins."""
     raw = (
