@@ -38,14 +38,14 @@ LANDMARKS = ("article", "main")
 SECTIONS = ("article", "aside", "dialog", "footer", "form", "header", "main", "nav", "section")
 _BAD, _GOOD = frozenset(WORDS_OUTSIDE), frozenset(WORDS_INSIDE)
 
-FEATURES = ("constant", "size", "size beside", "links", "sentence", "company", "part beside", "part inside")
-#: Features that go by names in the markup, the weight of a training block with them hidden, and the penalties of the fit.
-NAMED, HIDDEN = FEATURES[-2:], 0.2
-PENALTY, NAMED_PENALTY = 8.0, 0.02
+#: Text and place in the element tree alone: no name in the markup is among them.
+FEATURES = ("constant", "size", "size beside", "links", "sentence", "company", "household")
+PENALTY = 8.0
 #: Log odds where there is no labelled page to learn from; learned from the pages of the sf0.1 test tables.
-WEIGHTS = (-0.09, 0.8, 1.47, -3.29, -0.9, 4.11, -9.53, 0.0)
-#: Log odds that a landmark on the page adds to the blocks in it and takes from the others; hidden from training.
-LANDMARK_PRIOR = 2.0
+WEIGHTS = (-2.26, -0.12, 0.41, -2.62, -1.11, 3.0, 5.62)
+#: Fixed log odds that markup adds to the learned ones: a landmark on the page speaks for the blocks in it and against the others,
+#: the name of a part beside the main text against its blocks and, less, for the others of the page.
+LANDMARK_PRIOR, BESIDE_PRIOR, UNNAMED_PRIOR = 4.0, 9.0, 2.0
 #: Cost of telling apart two nodes that are as near as can be, in log odds.
 SMOOTH = 1.0
 #: Pages that the costs are learned from, at most.
@@ -165,22 +165,25 @@ def _marked(path) -> bool:
 
 
 def features_of(blocks: list) -> list[list[float]]:
-    """Features of each block in the order of FEATURES; landmarks of the main text are not among them.
+    """Features of each block in the order of FEATURES; neither landmarks nor other names of the markup are among them.
 
-    A block's company is the share of the page's text in blocks of its own
-    element's name under the same parent.
+    A block's household is the share of the page's text in blocks whose element
+    has the same parent, its company the share of those of its element's name.
     """
     import math
 
     sizes = [math.log1p(len(b[0].split())) / 3 for b in blocks]
     company: dict = {}
+    household: dict = {}
     for text, _, path, name in blocks:
-        kin = path[-2][0] if len(path) > 1 else 0, name
-        company[kin] = company.get(kin, 0) + len(text)
-    whole = max(1, sum(company.values()))
+        parent = path[-2][0] if len(path) > 1 else 0
+        company[parent, name] = company.get((parent, name), 0) + len(text)
+        household[parent] = household.get(parent, 0) + len(text)
+    whole = max(1, sum(household.values()))
     rows = []
     for i, (text, links, path, name) in enumerate(blocks):
         beside = [sizes[j] for j in (i - 1, i + 1) if 0 <= j < len(blocks)]
+        parent = path[-2][0] if len(path) > 1 else 0
         rows.append(
             [
                 1.0,
@@ -188,38 +191,39 @@ def features_of(blocks: list) -> list[list[float]]:
                 sum(beside) / len(beside) if beside else sizes[i],
                 links,
                 float(text[-1] in ".!?…。\"»”"),
-                company[path[-2][0] if len(path) > 1 else 0, name] / whole,
-                float(_marked(path)),
-                float(any(not _GOOD.isdisjoint(e[2]) for e in path if e[1] not in ("html", "body"))),
+                company[parent, name] / whole,
+                household[parent] / whole,
             ]
         )
     return rows
 
 
-def landmark_labels(blocks: list) -> list[int] | None:
-    """1 for the blocks in a landmark of the main text and in no part beside it, else 0; None for a page without landmarks."""
+def landmark_labels(blocks: list) -> list[int | None] | None:
+    """1 for the blocks in a landmark of the main text, 0 for those outside; None for a page without landmarks.
+
+    A block in a part of the landmark that is named as beside the main text
+    (comments in an article) teaches nothing: its label is None.
+    """
     if not any(_region(e) for b in blocks for e in b[2]):
         return None
-    return [int(any(_region(e) for e in b[2]) and not _marked(b[2])) for b in blocks]
+    inside = [any(_region(e) for e in b[2]) for b in blocks]
+    return [None if held and _marked(b[2]) else int(held) for held, b in zip(inside, blocks)]
 
 
 def fit_costs(x, y, steps: int = 60):
-    """Weights of a logistic regression with squared penalties, by Newton steps; those of WEIGHTS without both labels.
+    """Weights of a logistic regression by Newton steps; those of WEIGHTS without both labels.
 
-    Each block counts as it is, and again with the features that go by names
-    in the markup hidden, so that the text alone must tell too.
+    The squared penalty is on the distance from WEIGHTS, so that a few blocks move them little.
     """
     import numpy as np
 
     if not len(y) or y.min() == y.max():
         return list(WEIGHTS)
-    named = np.array([f in NAMED for f in FEATURES])
-    penalty = np.where(named, NAMED_PENALTY, PENALTY)
-    x, y, count = np.vstack([x, np.where(named, 0.0, x)]), np.append(y, y), np.repeat([1.0, HIDDEN], len(y))
-    w = np.zeros(x.shape[1])
+    usual = np.array(WEIGHTS)
+    w = usual.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (count * (y - p)) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(w)), x.T @ (y - p) - PENALTY * (w - usual))
         w += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
@@ -229,9 +233,10 @@ def fit_costs(x, y, steps: int = 60):
 def content_scores(blocks: list, weights) -> list[float]:
     """The cost of calling each block boilerplate less that of calling it content, in log odds."""
     inside = [any(_region(e) for e in b[2]) for b in blocks]
-    prior = LANDMARK_PRIOR if any(inside) else 0.0
+    beside = [_marked(b[2]) for b in blocks]
+    landmark, unnamed = LANDMARK_PRIOR * any(inside), UNNAMED_PRIOR * any(beside)
     scores = [sum(v * w for v, w in zip(row, weights)) for row in features_of(blocks)]
-    return [s + (prior if held else -prior) for s, held in zip(scores, inside)]
+    return [s + (landmark if held else -landmark) + (-BESIDE_PRIOR if off else unnamed) for s, held, off in zip(scores, inside, beside)]
 
 
 def neighbourhood(blocks: list, smooth: float) -> tuple[int, list[tuple[int, int, float]]]:
@@ -347,16 +352,18 @@ def _training_rows(batches: Iterator) -> Iterator:
         x, y = [], []
         for page in batch.column(0).to_pylist():
             blocks = blocks_of(page or "")
-            if labels := landmark_labels(blocks):
-                x += features_of(blocks)
-                y += labels
+            for row, label in zip(features_of(blocks), landmark_labels(blocks) or ()):
+                if label is not None:
+                    x.append(row)
+                    y.append(label)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
 
 def learned_costs(pages: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Block costs learned from at most ``sample`` of the pages that have a landmark of the main text, chosen by a hash.
 
-    Their blocks are labelled by the landmark, which no feature shows.
+    Their blocks are labelled by the landmark; features are of the text and
+    the element tree, so no feature shows a landmark or another name.
     """
     import pickle
 
