@@ -139,6 +139,70 @@ def test_op7_first_split_equals_brute_force(spark):
     assert gains[f, at] == pytest.approx(best)
 
 
+def test_op7_two_level_tree_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [tuple(float(rng.randint(0, 5)) for _ in urls.FEATURES) for _ in range(150)]
+    rows = [(*r, float((r[0] > 2) != (r[5] > 3) or rng.random() < 0.1)) for r in rows]
+    model = urls.BoostedTrees(rounds=1, depth=2, rate=0.5)
+    model.fit(spark.createDataFrame(rows, ", ".join(f"{f} double" for f in (*urls.FEATURES, "label"))))
+    share = sum(r[-1] for r in rows) / len(rows)
+    gain_of = lambda rs: sum(r[-1] - share for r in rs) ** 2 / (len(rs) * share * (1 - share) + model.penalty)
+
+    def check(tree, rs, depth):
+        splits = {}
+        for k, f in enumerate(urls.FEATURES):
+            for at in range(len(model.edges[f])):
+                halves = [r for r in rs if r[k] <= model.edges[f][at]], [r for r in rs if r[k] > model.edges[f][at]]
+                if depth and all(halves):
+                    splits[f, at] = sum(map(gain_of, halves)) - gain_of(rs), *halves
+        if isinstance(tree, float):
+            assert tree == pytest.approx(model.rate * sum(r[-1] - share for r in rs) / (len(rs) * share * (1 - share) + model.penalty))
+            assert max((s[0] for s in splits.values()), default=0.0) < 1e-5
+            return 1
+        gain, left, right = splits[tree[:2]]
+        assert gain == pytest.approx(max(s[0] for s in splits.values()))
+        return check(tree[2], left, depth - 1) + check(tree[3], right, depth - 1)
+
+    assert check(model.trees[0], rows, 2) == 4
+
+
+def test_op7_folded_margins_are_the_sum_of_all_trees(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [tuple(float(rng.randint(0, 5)) for _ in urls.FEATURES) for _ in range(60)]
+    rows = spark.createDataFrame([(*r, float(r[0] + r[1] > 5)) for r in rows], ", ".join(f"{f} double" for f in (*urls.FEATURES, "label")))
+    fits = []
+    for every in (1, 100):
+        monkeypatch.setattr(urls, "FOLDED", every)
+        fits.append(urls.BoostedTrees(rounds=3, depth=2).fit(rows))
+    scores = [[r.m for r in m.binned(rows).select(m.margin().alias("m")).collect()] for m in fits]
+    assert scores[0] == pytest.approx(scores[1]) and fits[0].trees[0] == fits[1].trees[0]
+
+
+def test_op7_a_hyphen_alone_tells_nothing(spark):
+    hosts = ["ththon", "www.thering", "m.therbler", "blog.tionsh", "ththation", "theringed", "m.ththere", "rethan"]
+    clean = [(f"https://{h}.example.{e}/en/{k}", 0) for h in hosts for e in ("com", "net") for k in range(6)]
+    bad = [(f"http://{h}.example.com/{k}?x=1", 1) for h in ("spam-farm", "m.casino-win") for k in range(6)]
+    labelled = spark.createDataFrame([*clean, *bad, ("no host", 1), (None, 0), ("http://x.net", 0)], "url string, label int")
+    both = urls.counterparts(labelled)
+    found = {(r.url, r.label) for r in both.collect()}
+    assert both.count() == 2 * (len(clean) + len(bad)) + 3 and {("no host", 1), (None, 0), ("http://x.net", 0)} <= found
+    assert {("http://spamfarm.example.com/3?x=1", 1), ("http://spam-farm.example.com/3?x=1", 1), ("https://m.the-rbler.example.net/en/2", 0)} <= found
+    pages = spark.createDataFrame([(1, "http://my-blog.com/fr/1"), (2, "http://spam-farm.example.com/2?x=1"), (3, "http://spamfarm.example.com/2?x=1"), (4, "https://the-ring.example.net/fr/1")], "page_id bigint, url string")
+    model, _ = urls.trained(both)
+    used = set()
+
+    def walk(tree):
+        if not isinstance(tree, float):
+            used.add(tree[0])
+            walk(tree[2])
+            walk(tree[3])
+
+    for tree in model.trees:
+        walk(tree)
+    assert len(used) >= 2 and used != {"hyphens"}
+    assert [r.verdict for r in urls.judge_urls(pages, both).orderBy("page_id").collect()] == ["allow", "block", "block", "allow"]
+
+
 def test_op7_odd_urls(spark):
     long = "http://" + "a" * 70_000 + ".com/en/" + "x" * 50_000
     rows = [(1, long), (2, "://"), (3, "http://"), (4, "http://NET"), (5, "http://x.net/de/8?/en/"), (6, "http://x.net#/de/8"), (7, "ftp://a.com:80/en/"), (8, "http://" + "s" * 90 + "/p")]

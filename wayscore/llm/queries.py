@@ -40,7 +40,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.seed_labels(pages))
+    return urls.judge_urls(pages, urls.counterparts(urls.seed_labels(pages, held_out=False)))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,10 @@ RULES = (
 )
 #: Parts of host names by which seed URLs are labelled as unwanted, where no labelled URLs are given.
 UNWANTED = ("adult", "ads", "bets", "casino", "cheap", "farm", "free", "pills", "poker", "porn", "spam", "track", "viagra", "win", "xxx")
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "suffix_rate", "host_entropy")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_label", "suffix_rate", "host_entropy", "vowel_ratio", "distinct")
 BINS = 16
+#: Trees whose sum is an expression over the training table; then it is written into its margins.
+FOLDED = 4
 
 
 def host_of(url: Column) -> Column:
@@ -84,13 +86,15 @@ def lexical(urls: DataFrame) -> DataFrame:
             "hyphens": (F.length("host") - F.length(F.translate(F.col("host"), "-", ""))).cast("double"),
             "longest_label": F.array_max(F.transform(labels, F.length)).cast("double"),
             "host_entropy": _entropy(F.col("host")),
+            "vowel_ratio": F.coalesce(F.try_divide(F.length(F.regexp_replace(F.col("host"), "[^aeiou]", "")), F.length("host")), F.lit(0.0)).cast("double"),
+            "distinct": F.size(F.array_distinct(F.filter(F.split("host", ""), lambda c: c != ""))).cast("double"),
         }
     )
 
 
 def host_held_out(url: Column, fold: int = 0) -> Column:
-    """Whether a URL's host is kept from training: a fifth of the hosts, by crc32."""
-    return F.crc32(host_of(url).cast("binary")) % 5 == fold
+    """Whether a URL's host is kept from training: a fifth of the hosts, by crc32 without hyphens, so that counterparts go with it."""
+    return F.crc32(F.translate(host_of(url), "-", "").cast("binary")) % 5 == fold
 
 
 def seed_labels(pages: DataFrame, held_out: bool = True) -> DataFrame:
@@ -107,6 +111,20 @@ def seed_labels(pages: DataFrame, held_out: bool = True) -> DataFrame:
     return seeds.where(~host_held_out(F.col("url"))) if held_out else seeds
 
 
+def counterparts(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (url, label), and for each URL the same one with the hyphens of its host turned, under the same label.
+
+    A host with hyphens loses them; one without gets a hyphen into its first
+    part of six characters or more, and has no counterpart if there is none.
+    So a hyphen alone tells nothing, and the other features must decide.
+    """
+    host = host_of(F.col("url"))
+    turned = F.when(F.contains(host, F.lit("-")), F.translate(host, "-", "")).otherwise(F.regexp_replace(host, r"^((?:[^.]*\.)*?)([^.]{3})([^.]{3,}\..*)$", "$1$2-$3"))
+    rest = F.regexp_extract("url", r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    both = F.when(turned != host, F.array("url", F.concat(F.regexp_extract("url", r"(?s)^(.*?://)", 1), turned, rest)))
+    return labelled.select(F.explode(F.coalesce(both, F.array("url"))).alias("url"), "label")
+
+
 #: Suffixes of host names, the most frequent ones first, whose label rate is a feature of its own; it bounds what is broadcast.
 SUFFIXES = 2000
 
@@ -129,7 +147,7 @@ class BoostedTrees:
     splits (feature, bin, left, right) with numbers as leaves.
     """
 
-    def __init__(self, rounds: int = 16, depth: int = 3, rate: float = 0.3, penalty: float = 1.0):
+    def __init__(self, rounds: int = 20, depth: int = 3, rate: float = 0.6, penalty: float = 1.0):
         self.rounds, self.depth, self.rate, self.penalty = rounds, depth, rate, penalty
         self.edges: dict[str, list[float]] = {}
         self.trees: list = []
@@ -169,12 +187,20 @@ class BoostedTrees:
             return self
         bins = [f"b_{f}" for f in FEATURES]
         table = written(self.binned(labelled).groupBy(*bins).agg(F.count("*").alias("n"), F.sum("label").alias("y")), "bins")
-        for _ in range(self.rounds):
-            self.trees.append(self._grow(table))
+        table, stored, folded = table.withColumn("margin", F.lit(self.base)), table, 0
+        for done in range(1, self.rounds + 1):
+            self.trees.append(self._grow(table, folded))
+            if done % FOLDED == 0 and done < self.rounds:
+                table = stored = written(table.withColumn("margin", self._added("margin", folded)), "bins", stored)
+                folded = done
         return self
 
-    def _grow(self, table: DataFrame):
-        p = 1 / (1 + F.exp(-self.margin()))
+    def _added(self, margin: str, folded: int) -> Column:
+        """``margin``, which holds the first ``folded`` trees, with the others."""
+        return sum((self._expression(tree) for tree in self.trees[folded:]), F.col(margin))
+
+    def _grow(self, table: DataFrame, folded: int):
+        p = 1 / (1 + F.exp(-self._added("margin", folded)))
         rows = table.withColumn("g", F.col("y") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
         tree: dict[int, tuple] = {}
         totals: dict[int, tuple[float, float]] = {}
