@@ -3,7 +3,9 @@
 import itertools
 import json
 import random
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,58 @@ def test_all_longest_and_separate_runs(spark):
     assert rows(runs.without_overlaps(runs.all_runs(pred, real, logged))) == sorted(kept)
 
 
+def test_all_runs_of_many_paths(spark):
+    rng = random.Random(12)
+    node = lambda: (rng.choice(["a", "b", "b", None]), s := rng.choice([0, 1, 2, 2**60, None]), None if s is None else s + rng.randint(0, 1))
+    path = lambda n: [node() for _ in range(rng.randint(1, n))]
+    real = {(c, o): path(30) for c in range(5) for o in range(6)} | {(9, 0): path(3)}
+    # 0 to 9 belong to one case each, 10 to two, one of them listed twice; 11 has no case
+    cases = [(r, r % 5) for r in range(10)] + [(10, 0), (10, 3), (10, 3), (11, 7)]
+    pred = {(r, o): path(12) for r in range(12) for o in range(4)}
+    frame = lambda paths, keys: spark.createDataFrame([(*k, i, *n) for k, p in paths.items() for i, n in enumerate(p)], keys + NODE.replace("int", "bigint"))
+    got = runs.all_runs(frame(pred, "run_id int, op_idx int, "), frame(real, "case_id int, path_ord int, "), spark.createDataFrame(cases, "run_id int, case_id int"))
+    known = lambda p: [(*(n if None not in n else (object(), 0, 0)),) for n in p]
+    expected = []
+    for run, case in set(cases):
+        for (c, o), r in real.items():
+            for (n, k), p in pred.items():
+                if (c, n) == (case, run):
+                    expected += [(run, c, o, k, *f, len(r), len(p), f[0] / len(r)) for f in brute_runs(known(r), known(p), 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and len(expected) > 2000
+
+
+def test_all_runs_take_pairs_together():
+    def calls(n):
+        nodes = pa.array([[{"node_idx": i, "file": "a", "start_line": i, "end_line": i + 1} for i in range(3)]] * n)
+        batch = pa.RecordBatch.from_arrays([*[pa.array(range(n))] * 4, nodes, nodes], ["run_id", "case_id", "path_ord", "op_idx", "real", "pred"])
+        seen = []
+        sys.setprofile(lambda *event: seen.append(event[1]))
+        try:
+            made = list(runs._walked_at_once(iter([batch])))
+        finally:
+            sys.setprofile(None)
+        assert sum(b.num_rows for b in made) == 7 * n
+        return len(seen)
+
+    calls(10)
+    # what Python does for each pair took most of the time
+    assert calls(2000) < 2 * calls(200)
+
+
+def test_long_paths_leave_in_blocks(monkeypatch):
+    monkeypatch.setattr(runs, "NODES", 8, raising=False)
+    rng = random.Random(13)
+    make = lambda n: [(rng.choice("ab"), s := rng.randint(0, 3), s + 1) for _ in range(n)]
+    pairs = [(make(n), make(m)) for n, m in ((40, 30), (1, 1), (3, 9), (7, 2), (1, 12), (25, 1), (2, 2))]
+    column = lambda k: pa.array([[{"file": f, "start_line": s, "end_line": e} for f, s, e in p[k]] for p in pairs])
+    batch = pa.RecordBatch.from_arrays([*[pa.array(range(len(pairs)))] * 4, column(0), column(1)], ["run_id", "case_id", "path_ord", "op_idx", "real", "pred"])
+    made = list(runs._walked_at_once(iter([batch.slice(0, 0), batch, batch.slice(2, 3)])))
+    got = sorted((r["run_id"], *(r[c] for c in runs.RUN[:5])) for b in made for r in b.to_pylist())
+    found = [[(i, *f) for f in brute_runs(r, p, 1)] for i, (r, p) in enumerate(pairs)]
+    assert got == sorted(sum(found + found[2:5], []))
+    assert max(b.num_rows for b in made) < 8 + 40
+
+
 def test_ranks_equal_brute_force(spark):
     rng = random.Random(5)
     rows = [(g, float(rng.randint(0, 900))) for g in "xyz" for _ in range(1500)] + [("one", 4.0)]
